@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .minhash import op9_minhash_forest
 from .substring import op1_suffix_array_dedup, op7_suffix_tree_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op7_suffix_tree_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op7_suffix_tree_dedup, op9_minhash_forest)}
 ORACLE_SQL: dict[str, str] = {}
