@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_prefix_target
 from .minhash import op9_minhash_forest
+from .quality import OP10_SQL, op10_quality_ledger
 from .substring import op1_suffix_array_dedup, op7_suffix_tree_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op7_suffix_tree_dedup, op9_minhash_forest)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_chat_prefix_target,
+        op7_suffix_tree_dedup,
+        op9_minhash_forest,
+        op10_quality_ledger,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op2_chat_prefix_target": OP2_SQL, "op10_quality_ledger": OP10_SQL}
