@@ -42,22 +42,25 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> tuple[DataFrame, bool]:
-    """(rid, key, text) of every row, and whether rid is the key itself.
+def keyed_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", carry: bool = False) -> tuple[DataFrame, bool]:
+    """(rid, key, text) of every row, and whether rid is the key itself. With
+    carry also row: a struct of all the columns that came in.
 
     Where doc_id is unique and never null, rid = doc_id. Otherwise rows get
     consecutive numbers in the order (doc_id nulls first, text), written to the
     shared folder, so that every row stays a document of its own and "earlier"
     stays defined for ties and repeated rows.
     """
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    rest = [F.struct("*").alias("row")] if carry else []
+    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), *rest)
     odd = rows.groupBy("key").count().where("count > 1 or key is null").limit(1)
+    rest = ["row"] if carry else []
     if not odd.head(1):
-        return rows.select(F.col("key").cast("long").alias("rid"), "key", "text"), True
+        return rows.select(F.col("key").cast("long").alias("rid"), "key", "text", *rest), True
     spark = docs.sparkSession
     order = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ranged = rows.repartitionByRange(n_parts(spark), *order).sortWithinPartitions(*order)
-    return materialize(ranged.select(F.monotonically_increasing_id().alias("rid"), "key", "text"), "keyed"), False
+    return materialize(ranged.select(F.monotonically_increasing_id().alias("rid"), "key", "text", *rest), "keyed"), False
 
 
 def give_back_key(result: DataFrame, rows: DataFrame, same: bool, key_col: str = "doc_id") -> DataFrame:
