@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits ends a term.
+_NO_TERM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -38,13 +40,14 @@ def prefix(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, down
 
 
-def word_spans(off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(off: np.ndarray, buf: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words [^\\x20\\x09-\\x0D]+ in a run of texts, and the
-    index of each text's first word (one more at the end)."""
+    index of each text's first word (one more at the end). With terms: of runs of
+    letters, digits and whatever isn't ASCII."""
     n = len(buf)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~_SEP[buf]
+    word = ~(_NO_TERM if terms else _SEP)[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     start = word.copy()

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from .bm25 import op6_bm25_decontamination
 from .chat import OP2_SQL, op2_chat_prefix_target
 from .minhash import op9_minhash_forest
+from .mixing import op8_temperature_mix
 from .quality import OP10_SQL, op10_quality_ledger
+from .sharding import op5_minimax_shards
 from .substring import op1_suffix_array_dedup, op7_suffix_tree_dedup
+from .tokens import op4_token_attribution
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup,
         op2_chat_prefix_target,
+        op4_token_attribution,
+        op5_minimax_shards,
+        op6_bm25_decontamination,
         op7_suffix_tree_dedup,
+        op8_temperature_mix,
         op9_minhash_forest,
         op10_quality_ledger,
     )
