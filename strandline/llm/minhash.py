@@ -332,29 +332,10 @@ def confirmed_links(f: Forest, rows: DataFrame, want: DataFrame, pairs: DataFram
     return deal(sets.unionAll(packed), parts).mapInArrow(partial(_confirm, f), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """Link documents whose sets of word shingles have a similarity of `percent`
-    or more, and give each document its component.
-
-    Words are [^\\x20\\x09-\\x0D]+ of the whole text, A-Z lowered. A document's set
-    is its distinct 5-word shingles; with fewer words, the whole sequence as
-    one; without words or text (null) it is empty and linked with nothing.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable),
-    kept (it is the component's first). An empty table gives none; other columns
-    are ignored. Where doc_id repeats or is null, every row is a document of its
-    own, "smallest" means first in the order (doc_id, nulls first; text), and
-    kept marks one row of each component.
-
-    Equal sets are collapsed before pairs are formed. Candidates that hang
-    together are confirmed in one task, up to `room` shingles; beyond that they
-    are dealt out by hash, the first eight documents go with every chunk, and
-    pairs left between chunks are confirmed for themselves.
-    """
-    f = forest
-    spark = docs.sparkSession
-    parts = n_parts(spark)
-    rows, same = keyed_rows(docs)
+def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
+    """rows (rid, text), rid unique: (rid, n_shingles, root), by what is said at
+    near_duplicates."""
+    parts = n_parts(rows.sparkSession)
     crowded = crowded_prefixes(f, rows)
     dealt = deal(rows.select("rid", "text").mapInArrow(partial(_map_signatures, f, parts, crowded), BLOB_SCHEMA), parts)
     table = materialize(dealt.mapInArrow(partial(_regions, f, parts), BLOB_SCHEMA), "forest")
@@ -392,7 +373,30 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         alone = left.select(F.col("a").alias("rid"), "chunk").unionAll(left.select(F.col("b").alias("rid"), "chunk"))
         links = links.unionAll(confirmed_links(f, rows, alone, left))
     found = components(links)
-    out = counts.join(found, counts.rid == found.id, "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rid").alias("root"))
+    return counts.join(found, counts.rid == found.id, "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rid").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """Link documents whose sets of word shingles have a similarity of `percent`
+    or more, and give each document its component.
+
+    Words are [^\\x20\\x09-\\x0D]+ of the whole text, A-Z lowered. A document's set
+    is its distinct 5-word shingles; with fewer words, the whole sequence as
+    one; without words or text (null) it is empty and linked with nothing.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable),
+    kept (it is the component's first). An empty table gives none; other columns
+    are ignored. Where doc_id repeats or is null, every row is a document of its
+    own, "smallest" means first in the order (doc_id, nulls first; text), and
+    kept marks one row of each component.
+
+    Equal sets are collapsed before pairs are formed. Candidates that hang
+    together are confirmed in one task, up to `room` shingles; beyond that they
+    are dealt out by hash, the first eight documents go with every chunk, and
+    pairs left between chunks are confirmed for themselves.
+    """
+    rows, same = keyed_rows(docs)
+    out = component_roots(rows, forest)
     if same:
         return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"), (F.col("rid") == F.col("root")).alias("kept"))
     key = rows.select("rid", F.col("key").alias("doc_id"))
@@ -400,6 +404,13 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("root")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """The first row of each component, with the columns it came with."""
+    rows, _ = keyed_rows(docs, carry=True)
+    late = component_roots(rows.select("rid", "text"), forest).where("rid <> root").select("rid")
+    return rows.join(late, "rid", "left_anti").select("row.*")
+
+
 def op9_minhash_forest(spark, sf_dir):
     """Components over all documents at 85 percent."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Forest())

@@ -10,12 +10,14 @@ from .quality import OP10_SQL, op10_quality_ledger
 from .sharding import op5_minimax_shards
 from .substring import op1_suffix_array_dedup, op7_suffix_tree_dedup
 from .tokens import op4_token_attribution
+from .toxicity import op3_attention_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup,
         op2_chat_prefix_target,
+        op3_attention_toxicity,
         op4_token_attribution,
         op5_minimax_shards,
         op6_bm25_decontamination,
