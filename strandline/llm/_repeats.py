@@ -102,7 +102,8 @@ def _map_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa
         h, g, rid, place, repeat, _, _ = _collapse(job, h, g, rid, place)
         out = _mark_blobs(rid[repeat], place[repeat], parts)
         h, g, rid, place = h[~repeat], g[~repeat], rid[~repeat], place[~repeat]
-        route = np.where(np.isin(h, hot), mix64(h ^ g), h)
+        # an anchor is a minimum, so its own leading bits are all alike
+        route = mix64(np.where(np.isin(h, hot), h ^ g, h))
         out += [("anchor", p, pack(_delta(h[r]), g[r], rid[r], place[r])) for p, r in split_by_part(range_part(route, parts))]
         return blob_batch(out)
 
@@ -231,7 +232,7 @@ def _cut_segments(job: Repeats, parts: int, batches: Iterator[pa.RecordBatch]) -
             else:
                 key = [hash_bytes(b" ".join(raw[i:j].split())) for i, j in zip(first[at], end[at], strict=True)]
             h[at] = np.array(key, np.uint64)
-        yield blob_batch([("segment", p, _segment_blob(rid[r], start[r] << 8 | n[r], buf, first[r], size[r])) for p, r in split_by_part(range_part(h, parts))])
+        yield blob_batch([("segment", p, _segment_blob(rid[r], start[r] << 8 | n[r], buf, first[r], size[r])) for p, r in split_by_part(range_part(mix64(h), parts))])
 
 
 def hash_bytes(b: bytes) -> int:
