@@ -12,6 +12,8 @@ each position.
    `length` symbols. Suffixes with equal windows are compared by their places.
 4. Marked windows go back to their documents.
 
+Rows that pass between tasks are blobs of packed columns, one for each part.
+
 An anchor seen in a hundredth of a sample of documents is hot: its segments are
 dealt out by their own hash, and in step 3 each window by its own hash, which
 is the same grouping under a longer prefix. The sample decides the route alone.
@@ -85,8 +87,26 @@ def _collapse(job: Repeats, h, g, rid, place):
     return h, g, rid, place, repeat, anchor, segment
 
 
-def _mark_blobs(rid, place, parts):
-    return [("mark", p, pack(rid[r], place[r])) for p, r in split_by_part(id_part(rid, parts))]
+def _split_by_rid(kind: str, dtypes: tuple[str, ...], parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deal rows out by row number. Done where a written table is read, in tasks
+    as large as the files, so that few blobs go from each task to each part."""
+    held: list[bytes] = []
+
+    def flush():
+        cols = unpack_all(held, dtypes)
+        held.clear()
+        return blob_batch([(kind, p, pack(*(c[r] for c in cols))) for p, r in split_by_part(id_part(cols[0], parts))])
+
+    for batch in batches:
+        held += batch.column(0).to_pylist()
+        if sum(map(len, held)) >= FLUSH << 5:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _by_rid(table: DataFrame, kind: str, dtypes: tuple[str, ...], parts: int) -> DataFrame:
+    return table.where(F.col("kind") == kind).select("blob").mapInArrow(partial(_split_by_rid, kind, dtypes, parts), BLOB_SCHEMA)
 
 
 def _delta(h: np.ndarray) -> np.ndarray:
@@ -100,7 +120,7 @@ def _map_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa
         h, g, rid, place = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         h, g, rid, place, repeat, _, _ = _collapse(job, h, g, rid, place)
-        out = _mark_blobs(rid[repeat], place[repeat], parts)
+        out = [("mark", int(rid[0]) % parts, pack(rid[repeat], place[repeat]))] if len(rid) else []
         h, g, rid, place = h[~repeat], g[~repeat], rid[~repeat], place[~repeat]
         # an anchor is a minimum, so its own leading bits are all alike
         route = mix64(np.where(np.isin(h, hot), h ^ g, h))
@@ -120,14 +140,13 @@ def _map_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa
 # -- 2. distinct segments ---------------------------------------------------------
 
 
-def _reduce_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reduce_anchors(job: Repeats, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks pass through; rows `want` ask a text for a segment."""
     got: dict[str, list[bytes]] = defaultdict(list)
     for batch in batches:
         read_blobs([batch], got)
         if got["mark"]:
-            rid, place = unpack_all(got.pop("mark"), ("i8", "i8"))
-            yield blob_batch(_mark_blobs(rid, place, parts))
+            yield blob_batch([("mark", 0, b) for b in got.pop("mark")])
     if not got["anchor"]:
         return
     cols = [unpack_all([b], ("u8", "u8", "i8", "i8")) for b in got.pop("anchor")]
@@ -137,10 +156,7 @@ def _reduce_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator
     distinct = np.add.reduceat(segment, np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
     is_hot = np.isin(h, hot)
     want = ~repeat & ((distinct > 1) | is_hot)
-    out = _mark_blobs(rid[repeat], place[repeat], parts)
-    rid, place, h, is_hot = rid[want], place[want], h[want], is_hot[want]
-    out += [("want", p, pack(rid[r], place[r], h[r], is_hot[r].astype(np.int64))) for p, r in split_by_part(id_part(rid, parts))]
-    yield blob_batch(out)
+    yield blob_batch([("mark", 0, pack(rid[repeat], place[repeat])), ("want", 0, pack(rid[want], place[want], h[want], is_hot[want].astype(np.int64)))])
 
 
 # -- texts by document partition ----------------------------------------------------
@@ -274,10 +290,10 @@ def mark_windows(job: Repeats, rid, place, off, buf) -> tuple[np.ndarray, np.nda
     return rid[seg[a]], (start[seg[a]] + step[a]) << 8 | (b - a + 1)
 
 
-def _sort_segments(job: Repeats, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_segments(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = read_blobs(batches, defaultdict(list))
     if got["segment"]:
-        yield blob_batch(_mark_blobs(*mark_windows(job, *_open_segments(got["segment"])), parts))
+        yield blob_batch([("mark", 0, pack(*mark_windows(job, *_open_segments(got["segment"]))))])
 
 
 # -- 4. documents -------------------------------------------------------------------
@@ -368,8 +384,9 @@ def remove_repeats(rows: DataFrame, job: Repeats) -> DataFrame:
     parts = n_parts(rows.sparkSession)
     hot = hot_anchors(job, rows)
     dealt = deal(rows.select("rid", "text").mapInArrow(partial(_map_anchors, job, parts, hot), BLOB_SCHEMA), parts)
-    first = materialize(dealt.mapInArrow(partial(_reduce_anchors, job, parts, hot), BLOB_SCHEMA), "segments")
-    cut = deal(texts_by_part(rows, parts).unionAll(first.where("kind = 'want'")), parts).mapInArrow(partial(_cut_segments, job, parts), BLOB_SCHEMA)
-    second = materialize(deal(cut, parts).mapInArrow(partial(_sort_segments, job, parts), BLOB_SCHEMA), "windows")
-    marks = first.where("kind = 'mark'").unionAll(second)
+    first = materialize(dealt.mapInArrow(partial(_reduce_anchors, job, hot), BLOB_SCHEMA), "segments")
+    want = _by_rid(first, "want", ("i8", "i8", "u8", "i8"), parts)
+    cut = deal(texts_by_part(rows, parts).unionAll(want), parts).mapInArrow(partial(_cut_segments, job, parts), BLOB_SCHEMA)
+    second = materialize(deal(cut, parts).mapInArrow(partial(_sort_segments, job), BLOB_SCHEMA), "windows")
+    marks = _by_rid(first.unionAll(second), "mark", ("i8", "i8"), parts)
     return deal(texts_by_part(rows, parts).unionAll(marks), parts).mapInArrow(partial(_apply_marks, job), RESULT_SCHEMA)
