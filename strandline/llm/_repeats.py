@@ -206,6 +206,15 @@ def _cut_segments(job: Repeats, parts: int, batches: Iterator[pa.RecordBatch]) -
     want = unpack_all(got["want"], ("i8", "i8", "u8", "i8"))
     order = np.argsort(want[0], kind="stable")
     want = [c[order] for c in want]
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush():
+        """One blob for each part, of all texts seen so far."""
+        rid, place, h, size, body = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        at = np.cumsum(size) - size
+        return blob_batch([("segment", p, _segment_blob(rid[r], place[r], body, at[r], size[r])) for p, r in split_by_part(range_part(mix64(h), parts))])
+
     for blob in got["text"]:
         ids, off, buf = _open_texts(blob)
         a, b = np.searchsorted(want[0], ids), np.searchsorted(want[0], ids, side="right")
@@ -248,7 +257,11 @@ def _cut_segments(job: Repeats, parts: int, batches: Iterator[pa.RecordBatch]) -
             else:
                 key = [hash_bytes(b" ".join(raw[i:j].split())) for i, j in zip(first[at], end[at], strict=True)]
             h[at] = np.array(key, np.uint64)
-        yield blob_batch([("segment", p, _segment_blob(rid[r], start[r] << 8 | n[r], buf, first[r], size[r])) for p, r in split_by_part(range_part(mix64(h), parts))])
+        held.append((rid, start << 8 | n, h, size, _gather(buf, first, size)))
+        if sum(len(x[4]) for x in held) >= FLUSH << 4:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def hash_bytes(b: bytes) -> int:
