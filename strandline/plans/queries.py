@@ -801,10 +801,10 @@ def report_ids(spark, sf_dir):
     )
 
 
-@query(f"WITH {RUNS} SELECT event_type, width, round(avg(value), 6) AS mean FROM runs WHERE value <> 0 GROUP BY event_type, width")
+@query(f"WITH {RUNS} SELECT event_type, width, round(avg(value), 9) AS mean FROM runs WHERE value <> 0 GROUP BY event_type, width")
 def group_mean(spark, sf_dir):
     out = report.group_mean(_runs(spark, sf_dir), ["event_type", "width"], "value", nonzero=True)
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", F.round("mean", 9))
 
 
 @query(f"WITH {RUNS} SELECT event_type, i, run, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, i) AS k FROM runs) WHERE k = 1")
@@ -812,10 +812,10 @@ def argmax_row_per_group(spark, sf_dir):
     return report.best_row(_runs(spark, sf_dir).select("event_type", "i", "run", "value"), ["event_type"], "value", "i")
 
 
-@query(f"WITH {RUNS} SELECT i, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY i ROWS 99 PRECEDING), 6) AS mean FROM runs")
+@query(f"WITH {RUNS} SELECT i, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY i ROWS 99 PRECEDING), 9) AS mean FROM runs")
 def rolling_mean_100(spark, sf_dir):
     out = report.rolling_mean(_runs(spark, sf_dir), ["event_type"], "i", "value")
-    return out.select("i", "event_type", F.round("mean", 6).alias("mean"))
+    return out.select("i", "event_type", F.round("mean", 9).alias("mean"))
 
 
 @query(f"""WITH {RUNS}, n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY i) AS step FROM runs), gold AS (SELECT step, max(value) AS gold FROM n GROUP BY step)
