@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from ..functions.kernels import REF_KEY, slice_size
 from ..functions.special import chi_squared_cdf, half_gaussian_cdf, ks_pvalue
+from ..plans.running import running_by
 from . import ranks
 
 # A selection is (it, row_id, inside) with any number of key columns; keys name
@@ -25,26 +26,36 @@ def check(m: int, alpha: float, beta: float) -> None:
         raise ValueError("beta must lie above 0 and not above 1")
 
 
-def _walk(tested: DataFrame, keys: list[str]) -> DataFrame:
-    """Running counts inside and outside over all reference ranks but the last."""
+LONG = 1_000_000  # rows of one test above which its walk spreads over tasks
+
+
+def _walk(tested: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """Running counts inside and outside over all reference ranks but the last.
+    n: rows of one test; tests of more than LONG rows are cut into ranges of
+    ranks, smaller ones are walked one by one, side by side."""
+    s = F.col("inside").cast("long")
+    rows = tested.where(F.col("rk") < F.col("n") - 1).select(*keys, "rk", "n", s.alias("s"))
+    i, size = (F.col("rk") + 1).cast("long"), (F.col("n") - 1).cast("long")
+    if n is not None and n > LONG:
+        walked = running_by(rows, keys, [F.col("rk")], {"a": F.col("s")})
+        sums = rows.groupBy(*keys).agg(F.sum("s").alias("m"))
+        return walked.join(sums, keys).select(*keys, "a", i.alias("i"), "m", size.alias("size"))
     w = W.partitionBy(*keys)
     run = w.orderBy("rk").rowsBetween(W.unboundedPreceding, 0)
-    s = F.col("inside").cast("long")
-    rows = tested.where(F.col("rk") < F.col("n") - 1)
-    return rows.select(*keys, F.sum(s).over(run).alias("a"), (F.col("rk") + 1).cast("long").alias("i"), F.sum(s).over(w).alias("m"), (F.col("n") - 1).cast("long").alias("size"))
+    return rows.select(*keys, F.sum("s").over(run).alias("a"), i.alias("i"), F.sum("s").over(w).alias("m"), size.alias("size"))
 
 
-def ks_test(tested: DataFrame, keys: list[str]) -> DataFrame:
+def ks_test(tested: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """tested: keys, rk, n, inside. Distance between the slice and all rows."""
     top = F.max(F.abs(F.col("a") * F.col("size") - F.col("i") * F.col("m")))
-    out = _walk(tested, keys).groupBy(*keys).agg(top.alias("top"), F.max("m").alias("m"), F.max("size").alias("size"))
+    out = _walk(tested, keys, n).groupBy(*keys).agg(top.alias("top"), F.max("m").alias("m"), F.max("size").alias("size"))
     return out.select(*keys, F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("top") / (F.col("m") * F.col("size"))).alias("score"))
 
 
-def ksp_test(tested: DataFrame, keys: list[str]) -> DataFrame:
+def ksp_test(tested: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """One minus the p-value of the distance between inside and outside."""
     top = F.max(F.abs(F.col("a") * (F.col("size") - F.col("m")) - (F.col("i") - F.col("a")) * F.col("m")))
-    out = _walk(tested, keys).groupBy(*keys).agg(top.alias("top"), F.max("m").alias("m"), F.max("size").alias("size"))
+    out = _walk(tested, keys, n).groupBy(*keys).agg(top.alias("top"), F.max("m").alias("m"), F.max("size").alias("size"))
     rest = F.col("size") - F.col("m")
     empty = (F.col("m") == 0) | (rest == 0)
     d = F.col("top") / F.when(empty, F.lit(1)).otherwise(F.col("m") * rest)
@@ -108,13 +119,13 @@ def mwp_test(tested: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.when((n1 == 0) | (n2 == 0), F.lit(1.0)).when(spread <= 0, F.lit(0.0)).otherwise(half_gaussian_cdf(z)).alias("score"))
 
 
-def test_scores(index: DataFrame, selected: DataFrame, test: str, keys: list[str], m: int, beta: float = 0.5, seed: int = 1) -> DataFrame:
+def test_scores(index: DataFrame, selected: DataFrame, test: str, keys: list[str], m: int, beta: float = 0.5, seed: int = 1, n: int | None = None) -> DataFrame:
     """index: a corrected index (dim, row_id, v, rk, n, adj, correction). selected:
     (dim = the reference column, it, row_id, inside, more keys). One score for
     each of the keys, which hold dim and it."""
     tested = selected.join(index, ["dim", "row_id"])
     if test in ("ks", "ksp"):
-        return (ks_test if test == "ks" else ksp_test)(tested, keys)
+        return (ks_test if test == "ks" else ksp_test)(tested, keys, n)
     if test == "csp":
         return csp_test(tested, keys)
     if test == "mwp":
@@ -163,7 +174,7 @@ def subspace_score(index: DataFrame, n: int, dims: list[int], ref: int | None =
     if test == "mcdep":
         scores = mcdep_scores(own, selected, kinds or dict.fromkeys(dims, "n"), keys, m, beta, seed)
     else:
-        scores = test_scores(own, selected, test, keys, m, beta, seed)
+        scores = test_scores(own, selected, test, keys, m, beta, seed, n)
     return scores.agg(F.avg("score").alias("score"))
 
 
@@ -181,7 +192,7 @@ def subspace_score_alpha(index: DataFrame, n: int, dims: list[int], ref: int | N
     sliced = r.withColumn("inside", (F.col("rk") >= at) & (F.col("rk") < at + F.col("size")))
     refs = F.lit(ref) if ref is not None else _reference(seed, dims)
     selected = sliced.withColumn("ref", refs).groupBy("it", "row_id", F.col("ref").alias("dim")).agg(F.bool_and(F.col("inside") | (F.col("dim") == F.col("ref"))).alias("inside"))
-    return test_scores(own, selected, test, ["dim", "it"], m, seed=seed).agg(F.avg("score").alias("score"))
+    return test_scores(own, selected, test, ["dim", "it"], m, seed=seed, n=n).agg(F.avg("score").alias("score"))
 
 
 def deviation_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, alpha: float = 0.5, beta: float = 0.5, seed: int = 1, refs: list[int] | None = None) -> DataFrame:
@@ -192,7 +203,7 @@ def deviation_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, a
     rows = index if refs is None else index.where(F.col("dim").isin(refs))
     if test in ("ks", "ksp"):
         tested = rows.select("dim", "row_id", "rk", "n").join(sliced, "row_id").where("dim <> other")
-        scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"])
+        scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"], n)
     else:
         selected = rows.select("dim", "row_id").join(sliced, "row_id").where("dim <> other")
         scores = test_scores(rows, selected, test, ["dim", "other", "it"], m, beta, seed)
@@ -205,7 +216,7 @@ def contrast_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, al
     sliced = ranks.numeric_slice(index, slice_size(n, alpha, 2), m, seed).select(F.col("dim").alias("other"), "row_id", "it", "inside")
     first = draw(seed, "it", REF_KEY) % 2 == 0  # the smaller column of a pair
     tested = index.select("dim", "row_id", "rk", "n").join(sliced, "row_id").where((F.col("dim") != F.col("other")) & (first == (F.col("dim") < F.col("other"))))
-    scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"])
+    scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"], n)
     return scores.groupBy(F.greatest("dim", "other").alias("x"), F.least("dim", "other").alias("y")).agg(F.avg("score").alias("score"))
 
 

@@ -3,37 +3,16 @@ score, y), y 1 for what should rank first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialize
-
-
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds place (0, 1, ... in the order, which must be total) and inclusive
-    running sums. Rows are range-partitioned and written once; the driver adds
-    up one row of totals for each partition, so no task sees all rows."""
-    parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33).cast("int")
-    totals = parts.groupBy(part.alias("p")).agg(F.count("*").alias("__n"), *[F.sum(c).alias(k) for k, c in sums.items()]).orderBy("p").collect()
-    w = W.partitionBy(part).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
-
-    def offset(name: str) -> Column:
-        pairs, so_far = [], 0
-        for r in totals:
-            pairs += [F.lit(r.p), F.lit(so_far)]
-            so_far += r[name] or 0
-        return F.create_map(*pairs)[part] if pairs else F.lit(0)
-
-    out = parts.withColumns({k: F.sum(c).over(w) + offset(k) for k, c in sums.items()})
-    return out.withColumn("place", F.col("__at").bitwiseAND((1 << 33) - 1) + offset("__n")).drop("__at")
+from ..plans.running import running_by
 
 
 def _ranked(df: DataFrame) -> DataFrame:
     """tp and fp among the rows up to and with each, by score, ties by row_id."""
     order = [F.col("score").desc(), F.col("row_id").asc()]
-    return running(df.select("row_id", "score", "y"), order, {"tp": F.col("y").cast("long"), "fp": 1 - F.col("y").cast("long")})
+    return running_by(df.select("row_id", "score", "y"), [], order, {"tp": F.col("y").cast("long"), "fp": 1 - F.col("y").cast("long")})
 
 
 def _totals(df: DataFrame) -> tuple[int, int]:
@@ -56,7 +35,7 @@ def roc_auc(df: DataFrame) -> DataFrame:
 
 def _thresholds(df: DataFrame) -> DataFrame:
     per = df.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("own"), F.count("*").alias("k"))
-    return running(per, [F.col("score").desc()], {"tp": F.col("own"), "at": F.col("k")})
+    return running_by(per, [], [F.col("score").desc()], {"tp": F.col("own"), "at": F.col("k")})
 
 
 def pr_curve(df: DataFrame) -> DataFrame:

@@ -7,10 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..plans.running import running_by
 
 
 def rank_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
-    """Ordinal ranks 0, 1, ...; ties go by row_id. Adds rk and n."""
+    """Ordinal ranks 0, 1, ...; ties go by row_id. Adds rk and n. By column alone
+    a group is the whole table, so ranks come from a range partition; keys that
+    hold a window make small groups, which are ranked one by one."""
+    if keys == ("dim",):
+        ranked = running_by(long, ["dim"], [F.col("v"), F.col("row_id")], {}).withColumnRenamed("place", "rk")
+        return ranked.join(F.broadcast(long.groupBy("dim").agg(F.count("*").alias("n"))), "dim")  # a row for each column
     w = W.partitionBy(*keys)
     return long.withColumn("rk", F.row_number().over(w.orderBy("v", "row_id")) - 1).withColumn("n", F.count("*").over(w))
 
@@ -18,6 +24,11 @@ def rank_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
 def corrected_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
     """Adds rk, n, adj (rank averaged over ties, from 0), ties (rows of the same
     value) and correction (the sum of t^3 - t over tie groups up to its own)."""
+    if keys == ("dim",):
+        t = F.col("ties")
+        values = running_by(long.groupBy("dim", "v").agg(F.count("*").alias("ties")), ["dim"], [F.col("v")], {"upto": t, "correction": t * t * t - t})
+        values = values.select("dim", "v", "ties", (F.col("upto") - t + (t - 1) / 2).alias("adj"), "correction")
+        return rank_index(long, keys).join(values, ["dim", "v"])
     w, same = W.partitionBy(*keys), W.partitionBy(*keys, "v")
     out = rank_index(long, keys).withColumn("ties", F.count("*").over(same))
     out = out.withColumn("adj", F.rank().over(w.orderBy("v")) - 1 + (F.col("ties") - 1) / 2)
@@ -34,8 +45,7 @@ def count_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
 
 def boundaries(ranked: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
     """Ranks at which a new value begins, with 0 and n: places for safe cuts."""
-    w = W.partitionBy(*keys).orderBy("rk")
-    inner = ranked.withColumn("before", F.lag("v").over(w)).where("before is null or before <> v").select(*keys, F.col("rk").alias("b"))
+    inner = ranked.groupBy(*keys, "v").agg(F.min("rk").alias("b")).select(*keys, "b")
     return inner.unionByName(ranked.groupBy(*keys).agg(F.max("n").alias("b")))
 
 

@@ -100,3 +100,26 @@ def test_tie_ranks(spark, values):
     assert [r.adj for r in rows] == TIES[values][0] and [r.correction for r in rows] == TIES[values][1]
     _, _, adj, tie = kernels.WindowIndex(np.array(values, float)[:, None]).ties(0)
     assert adj.tolist() == TIES[values][0] and tie.tolist() == TIES[values][1]
+
+
+def test_long_walks(spark, monkeypatch):
+    """Tests cut into ranges of ranks give what whole ones give."""
+    index, n = Q._index(spark, SMALL)
+    for test in ("ks", "ksp"):
+        whole = {(r.ref, r.other): r.score for r in dependence.deviation_matrix(index, n, test, 3).collect()}
+        monkeypatch.setattr(dependence, "LONG", 10)
+        cut = {(r.ref, r.other): r.score for r in dependence.deviation_matrix(index, n, test, 3).collect()}
+        monkeypatch.undo()
+        assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-12 for k in whole)
+
+
+def test_running_by(spark):
+    from strandline.plans.running import running_by
+
+    rows = [(k, i, (i * 7) % 5) for k, size in ((None, 3), (0, 400), (1, 1), (2, 90)) for i in range(size)]
+    df = spark.createDataFrame(rows, "k int, i int, x int").repartition(5)
+    out = running_by(df, ["k"], [F.col("i")], {"s": F.col("x")}).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.place == r.i and r.s == sum((j * 7) % 5 for j in range(r.i + 1))
+    assert running_by(df.limit(0), [], [F.col("i")], {"s": F.col("x")}).count() == 0
