@@ -135,3 +135,15 @@ def test_run_policies(spark):
     out = policies.run_policies(s, ["cucb", "mpts"], 2, scaling=Scaling("none", 1))
     assert out.count() == 160
     assert out.where("t >= 20 and policy = 'cucb'").agg(F.avg("gain")).head()[0] > 0.6
+
+
+@pytest.mark.parametrize("plus", [False, True])
+def test_scaling_columns(spark, plus):
+    """The next number of arms by columns and by the state machine's class."""
+    from strandline.functions.draws import draw_np
+
+    got = {r["round"]: r.next_k for r in Q._arms(spark, plus).collect()}
+    for i, k, eff in Q.SCALING:
+        counts = draw_np(5, i, np.arange(8)) % 40 + 1.0
+        sums = counts * (draw_np(6, i, np.arange(8)) % 100) / 100.0
+        assert got[i] == Scaling("klplus" if plus else "kl", k, 0.5, lo=1, hi=8).next(k, [eff], [0], sums, counts, 50.0), i
