@@ -85,6 +85,17 @@ class Index:
         # float32 may have rounded a bound down
         self.block_most = np.nextafter(self.block_most, np.float32(np.inf), where=self.block_most > 0, out=self.block_most)
         self.longest = int(n.max()) if len(n) else 0
+        # terms in more than `few` items can't lift an item to its threshold by
+        # themselves: what they add to it at most is taken off, and the postings
+        # of the others decide which items a passage may reach
+        self.few, few = 1, 1
+        while True:
+            rest = np.bincount(item, weights=np.where(df[term] > few, weight, 0.0), minlength=len(texts))
+            self.few, self.need = few, np.where(own == 0, np.inf, self.least - rest)
+            if few >= len(texts) or (self.need >= 0.35 * self.least)[own > 0].all():
+                break
+            few *= 2
+        self.df = np.append(df, len(texts) + 1)
         parts = [question_and_answer(t) for t in texts]
         self.parts = [tuple(self._shingles(h[f[i] : f[i + 1]]) for i in range(2)) for h, f in (terms_of(list(p)) for p in parts)]
 
@@ -141,6 +152,29 @@ class Index:
         return out[0], out[1]
 
 
+def _reach(index: Index, term, first, text, count, stride, end) -> np.ndarray:
+    """Whether a passage may reach some item: WAND's pivot test for all passages
+    of a run at once, over the postings of the rarer terms. Exact: whatever a
+    search would find passes."""
+    n = len(index.ids)
+    at = np.flatnonzero(index.df[term] <= index.few)
+    own = np.searchsorted(first, at, side="right") - 1
+    begin = np.cumsum(count) - count
+    step = (at - first[own]) // stride
+    keys = []
+    for k in range(-(-index.longest // stride) + 1):
+        number = np.minimum(step, count[own] - 1) - k
+        passage = begin[own] + number
+        inside = (number >= 0) & (at < end[np.maximum(passage, 0)])
+        keys.append(passage[inside] * len(index.df) + term[at[inside]])
+    key = np.unique(np.concatenate(keys))
+    passage, t = key // len(index.df), key % len(index.df)
+    size = index.df[t]
+    posting = np.arange(int(size.sum())) + np.repeat(index.at[t] - (np.cumsum(size) - size), size)
+    score = np.bincount(np.repeat(passage, size) * n + index.item[posting], weights=index.weight[posting], minlength=len(text) * n)
+    return (score.reshape(len(text), n) * (1 + 1e-9) + 1e-9 >= index.need).any(axis=1)
+
+
 def scan(indexes: list[Index], off: np.ndarray, buf: np.ndarray) -> dict[tuple[int, object], tuple[int, float, float, float]]:
     """(text, item id) -> (first term of the best passage, its score, overlap
     with question, with answer), for the contaminated pairs of a run of texts."""
@@ -159,11 +193,7 @@ def scan(indexes: list[Index], off: np.ndarray, buf: np.ndarray) -> dict[tuple[i
         end = np.minimum(start + width, first[text + 1])
         at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
         term = np.where(index.terms[at] == h, at, len(index.terms))
-        # a passage's bound in each block: no pair below it can pass
-        upto = np.zeros((len(h) + 1, index.block_most.shape[1]))
-        np.cumsum(index.block_most[term], axis=0, out=upto[1:])
-        may = ((upto[end] - upto[start]) * (1 + 1e-6) + 1e-6 >= index.block_least).any(axis=1)
-        for i in np.flatnonzero(may).tolist():
+        for i in np.flatnonzero(_reach(index, term, first, text, count, stride, end)).tolist():
             query = np.unique(term[start[i] : end[i]])
             for item, score in index.search(query[query < len(index.terms)]):
                 t = int(text[i])
