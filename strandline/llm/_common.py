@@ -186,7 +186,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def pieces(batch: pa.RecordBatch, ids: int, text: int, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, ids: int, text: int, most: int = 1 << 20):
     """(rids, offsets, bytes) of runs of rows of about `most` bytes; a longer
     text stands alone and whole."""
     rid = batch.column(ids).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -38,7 +38,7 @@ from ._symbols import anchors, byte_getter, word_hashes, word_spans
 
 SAMPLE = 4096  # documents by which hot anchors are found
 HOT = 0.01  # of those, to be hot
-FLUSH = 1 << 20  # anchors that a task holds before it deals them out
+FLUSH = 1 << 18  # anchors that a task holds before it deals them out
 
 #: Sorts suffixes: (segment offsets, bytes, start of each window, window's
 #: segment) -> (windows in classes of equal content, class of each).
@@ -99,7 +99,7 @@ def _split_by_rid(kind: str, dtypes: tuple[str, ...], parts: int, batches: Itera
 
     for batch in batches:
         held += batch.column(0).to_pylist()
-        if sum(map(len, held)) >= FLUSH << 5:
+        if sum(map(len, held)) >= FLUSH << 6:
             yield flush()
     if held:
         yield flush()
@@ -166,7 +166,7 @@ def _pack_texts(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     """Kind `text`: row numbers and texts of those that go to one partition."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for rid, off, buf in pieces(batch, 0, 1, 32 << 20):
+        for rid, off, buf in pieces(batch, 0, 1, 8 << 20):
             out = []
             raw = buf.tobytes()
             for p, rows in split_by_part(id_part(rid, parts)):
@@ -258,7 +258,7 @@ def _cut_segments(job: Repeats, parts: int, batches: Iterator[pa.RecordBatch]) -
                 key = [hash_bytes(b" ".join(raw[i:j].split())) for i, j in zip(first[at], end[at], strict=True)]
             h[at] = np.array(key, np.uint64)
         held.append((rid, start << 8 | n, h, size, _gather(buf, first, size)))
-        if sum(len(x[4]) for x in held) >= FLUSH << 4:
+        if sum(len(x[4]) for x in held) >= FLUSH << 6:
             yield flush()
     if held:
         yield flush()
