@@ -6,7 +6,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
@@ -108,7 +107,3 @@ def windows_of(rows: DataFrame, n: Column | int, size: int, step: int, partial:
 
 def row_count(df: DataFrame) -> int:
     return df.count()
-
-
-def lagged(df: DataFrame, value: str, by: list[str], order: str) -> Column:
-    return F.lag(value).over(W.partitionBy(*by).orderBy(order))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import MODULUS, draw, draw_sql
-from ..functions.kernels import REF_KEY, slice_size
+from ..functions.kernels import REF_KEY
 from ..operators import dataset, dependence, metrics, monitor, outliers, ranks, report, search
 from ..sources import matrix
 from ..streaming import policies, searcher
