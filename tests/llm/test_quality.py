@@ -3,7 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from strandline.llm.quality import CURRENT, OP10_SQL, POLICIES, RULES, ablations, keep_passing, op10_quality_ledger, rule_ledger
 from tests.oracle import SMALL, assert_same
