@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import BLOB_SCHEMA, blob_batch, deal, id_part, keyed_rows, materialize, mix64, n_parts, pack, pieces, range_part, read_blobs, split_by_part, unpack_all
 from ._repeats import _open_texts, texts_by_part
 from ._symbols import prefix, window_hashes, word_hashes, word_spans
-from .graph import components
+from .graph import components, gathered
 
 TREE = 8  # values in a tree's order that are sent along
 SAMPLE = 4096  # documents by which crowded prefixes are found
@@ -88,7 +88,7 @@ def _prefix_keys(sig: np.ndarray, tree: int, depths: list[int]) -> list[np.ndarr
     out, h, d = [], np.full(len(sig), tree + 1, np.uint64), 0
     for depth in depths:
         while d < depth:
-            h = mix64(h ^ (sig[:, order[d]].astype(np.uint64) + np.uint64(d + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            h = mix64(h ^ (sig[:, order[d]].astype(np.uint64) + np.uint64((d + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
             d += 1
         out.append(h)
     return out
@@ -205,7 +205,7 @@ def candidate_pairs(f: Forest, tree, rid, one, cols) -> tuple[np.ndarray, np.nda
 
 def _regions(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds: count and copy pass; pair (larger, smaller rid); near (row, first
-    row that shares `depth` values), by which candidates hang together."""
+    row that this task's pairs lead it to), by which candidates hang together."""
     got: dict[str, list[bytes]] = defaultdict(list)
     for batch in batches:
         read_blobs([batch], got)
@@ -225,7 +225,7 @@ def _regions(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     copy = ~new & (tree == 0)
     tree, own, one, cols = tree[new], rid[new], one[new], [c[new] for c in cols]
     a, b = candidate_pairs(f, tree, own, one, cols)
-    yield blob_batch([("copy", 0, pack(rid[copy], first[copy])), ("pair", 0, pack(a, b))])
+    yield blob_batch([("copy", 0, pack(rid[copy], first[copy])), ("pair", 0, pack(a, b)), ("near", 0, pack(*gathered(a, b)))])
 
 
 def _rows_of(kind: str, table: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -304,6 +304,11 @@ def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if p != q and similar(sets[x], sets[y], f.percent):
             p, q = min(p, q), max(p, q)
             up[q] = p
+    by_chunk: dict[int, list[int]] = defaultdict(list)
+    for c, r in sets:
+        by_chunk[c].append(r)
+    for c, members in by_chunk.items():
+        _complete(f, c, sorted(members), sets, up, root)
     ids = [(x[1], root(x)[1]) for x in list(up)]
     ids = [x for x in ids if x[0] != x[1]]
     if ids:
@@ -311,6 +316,47 @@ def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.record_batch([pa.array(cols[:, 0]), pa.array(cols[:, 1])], names=["a", "b"])
 
 
+def _complete(f: Forest, chunk: int, members: list[int], sets, up, root) -> None:
+    """Find the links that neighbours in the forest's orders have missed: all
+    pairs of a chunk that are similar share a hash in their prefixes (of a set's
+    hashes, rarest in the chunk first, so many that the rest alone can't reach
+    the similarity). Only pairs in different components are looked at, so where
+    candidates have all come together already, nothing is."""
+    groups: dict[int, list[int]] = defaultdict(list)
+    for r in members:
+        groups[root((chunk, r))[1]].append(r)
+    if len(groups) < 2:
+        return
+    largest = max(groups, key=lambda g: (len(groups[g]), -g))
+    at = np.array([r for r in members if len(sets[chunk, r])], np.int64)
+    if not len(at):
+        return
+    known, seen = np.unique(np.concatenate([sets[chunk, r] for r in at.tolist()]), return_counts=True)
+    heads, size = [], np.array([len(sets[chunk, r]) for r in at.tolist()])
+    for r, n in zip(at.tolist(), size.tolist(), strict=True):
+        s = sets[chunk, r]
+        rarest = np.lexsort((s, seen[np.searchsorted(known, s)]))
+        heads.append(s[rarest[: n - -(-n * f.percent // 100) + 1]])
+    owner = np.repeat(np.arange(len(at)), [len(h) for h in heads])
+    tokens = np.concatenate(heads)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    for i, r in enumerate(at.tolist()):
+        x = (chunk, r)
+        if root(x)[1] == largest:
+            continue
+        lo, hi = np.searchsorted(tokens, heads[i]), np.searchsorted(tokens, heads[i], side="right")
+        near = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+        near = near[(100 * np.minimum(size[near], size[i]) >= f.percent * np.maximum(size[near], size[i])) & (near != i)]
+        for j in near.tolist():
+            y = (chunk, int(at[j]))
+            p, q = root(x), root(y)
+            if p != q and similar(sets[x], sets[y], f.percent):
+                p, q = min(p, q), max(p, q)
+                up[q] = p
+                largest = p[1] if q[1] == largest else largest
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, on sorted distinct hashes."""
     if len(x) > len(y):
@@ -342,7 +388,7 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     counts = _rows_of("count", table, ("rid", "n"))
     copies = _rows_of("copy", table, ("a", "b"))
     pairs = materialize(_rows_of("pair", table, ("a", "b")).distinct(), "pairs")
-    near = components(pairs)
+    near = components(_rows_of("near", table, ("a", "b")))
     sized = near.join(counts, near.id == counts.rid).select("id", "root", "n")
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / f.room)).cast("long")
@@ -391,9 +437,11 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     kept marks one row of each component.
 
     Equal sets are collapsed before pairs are formed. Candidates that hang
-    together are confirmed in one task, up to `room` shingles; beyond that they
-    are dealt out by hash, the first eight documents go with every chunk, and
-    pairs left between chunks are confirmed for themselves.
+    together meet in one task, up to `room` shingles: their pairs are confirmed,
+    and a prefix join finds what links the neighbours have missed, so that no
+    window of neighbours decides. Beyond `room` they are dealt out by hash, the
+    first eight documents go with every chunk, and pairs of neighbours between
+    chunks are confirmed for themselves.
     """
     rows, same = keyed_rows(docs)
     out = component_roots(rows, forest)

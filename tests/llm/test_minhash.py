@@ -72,6 +72,21 @@ def test_all_pairs(spark, seed, forest):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == sorted(brute(rows, forest.percent))
 
 
+def test_dense_group(spark):
+    """Very many copies of one text, each with edits of its own: links near the
+    threshold, of which neighbours alone miss some."""
+    r = random.Random(8)
+    base = ["b%d" % i for i in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "e%d" % r.randint(0, 10**6)
+        rows.append((i, " ".join(w)))
+    out = near_duplicates(frame(spark, rows), Forest()).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(rows, 85))
+
+
 def test_same_and_null_ids(spark):
     t = "one two three four five six seven"
     out = near_duplicates(frame(spark, [(None, t), (4, t), (4, t), (4, "other words stand here alone now")])).collect()
