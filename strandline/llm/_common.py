@@ -58,8 +58,10 @@ def keyed_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     if not odd.head(1):
         return rows.select(F.col("key").cast("long").alias("rid"), "key", "text", *rest), True
     spark = docs.sparkSession
-    order = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(n_parts(spark), *order).sortWithinPartitions(*order)
+    # a text's first characters are enough to deal rows out by, and all that the
+    # sample of the ranges brings to the driver
+    key, start = F.col("key").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()
+    ranged = rows.repartitionByRange(n_parts(spark), key, start).sortWithinPartitions(key, F.col("text").asc_nulls_first())
     return materialize(ranged.select(F.monotonically_increasing_id().alias("rid"), "key", "text", *rest), "keyed"), False
 
 
