@@ -276,7 +276,8 @@ def _send_sets(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (rid, smallest rid it is linked with in its chunk). Pairs already
-    in one component are passed over."""
+    in one component are passed over. Where a pair's last column is 1, the link
+    is known, its ends may lie elsewhere, and only what is new is returned."""
     got = read_blobs(batches, defaultdict(list))
     sets: dict[tuple[int, int], np.ndarray] = {}
     for blob in got.pop("set", []):
@@ -286,7 +287,7 @@ def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for c, r, k in head.tolist():
             sets[c, r] = np.frombuffer(blob, np.uint64, k, at)
             at += 8 * k
-    a, b, chunk, _ = unpack_all(got["pair"], ("i8", "i8", "i8", "i8")) if got["pair"] else [np.empty(0, np.int64)] * 4
+    a, b, chunk, known = unpack_all(got["pair"], ("i8", "i8", "i8", "i8")) if got["pair"] else [np.empty(0, np.int64)] * 4
     order = np.lexsort((a, b, chunk))
     up: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -298,19 +299,25 @@ def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for i in order.tolist():
         c = int(chunk[i])
         x, y = (c, int(a[i])), (c, int(b[i]))
+        if known[i]:
+            p, q = sorted((root(x), root(y)))
+            if p != q:
+                up[q] = p
+            continue
         if x not in sets or y not in sets:
             raise ValueError("a candidate's shingle set did not arrive")
         p, q = root(x), root(y)
         if p != q and similar(sets[x], sets[y], f.percent):
             p, q = min(p, q), max(p, q)
             up[q] = p
+    before = {x: root(x) for x in list(up)} if known.any() else {}
     by_chunk: dict[int, list[int]] = defaultdict(list)
     for c, r in sets:
         by_chunk[c].append(r)
     for c, members in by_chunk.items():
         _complete(f, c, sorted(members), sets, up, root)
-    ids = [(x[1], root(x)[1]) for x in list(up)]
-    ids = [x for x in ids if x[0] != x[1]]
+    ids = {(before.get(x, x)[1], root(x)[1]) for x in list(up)}
+    ids = sorted(x for x in ids if x[0] != x[1])
     if ids:
         cols = np.array(ids, np.int64)
         yield pa.record_batch([pa.array(cols[:, 0]), pa.array(cols[:, 1])], names=["a", "b"])
@@ -369,15 +376,39 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed_links(f: Forest, rows: DataFrame, want: DataFrame, pairs: DataFrame) -> DataFrame:
-    """want (rid, chunk): who goes to which chunk. pairs (a, b, chunk)."""
+def confirmed_links(f: Forest, rows: DataFrame, want: DataFrame, pairs: DataFrame, known: bool = False) -> DataFrame:
+    """want (rid, chunk): who goes to which chunk. pairs (a, b, chunk). known:
+    the pairs are links already, and only new ones are looked for."""
     parts = n_parts(rows.sparkSession)
     asked = want.select("rid", "chunk").mapInArrow(partial(_pack_columns, "want", parts, 0, id_part), BLOB_SCHEMA)
     sets = deal(texts_by_part(rows, parts).unionAll(asked), parts).mapInArrow(partial(_send_sets, f, parts), BLOB_SCHEMA)
-    packed = pairs.select("a", "b", "chunk", F.lit(0).cast("long")).mapInArrow(partial(_pack_columns, "pair", parts, 2, id_part), BLOB_SCHEMA)
+    packed = pairs.select("a", "b", "chunk", F.lit(int(known)).cast("long")).mapInArrow(partial(_pack_columns, "pair", parts, 2, id_part), BLOB_SCHEMA)
     return deal(sets.unionAll(packed), parts).mapInArrow(partial(_confirm, f), "a long, b long")
 
 
+def links_between(f: Forest, rows: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """large (id, root, n): candidates that hang together (root) with more than
+    `room` shingles. The links among them that (a, b) of links do not imply.
+    Of two that are in different components, one at least is outside the
+    largest; blocks of those meet every block of all, two blocks in one task."""
+    found = components(links).select(F.col("id").alias("of"), F.col("root").alias("found"))
+    now = large.join(found, large.id == found.of, "left").select("id", "root", "n", F.coalesce("found", "id").alias("own"))
+    now = materialize(now, "known")
+    most = now.groupBy("root", "own").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "own")).alias("most"))
+    most = most.select("root", F.col("most.own").alias("largest"))
+    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(0)) / F.lit(max(1, f.room // 2))).cast("long")
+    outside = F.col("own") != F.col("largest")
+    per = now.join(F.broadcast(most), "root").groupBy("root", "largest").agg(blocks("n").alias("blocks"), blocks(F.when(outside, F.col("n"))).alias("late")).where("late > 0")
+    at = now.join(F.broadcast(materialize(per, "blocks")), "root")
+    at = at.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.when(outside, F.pmod(F.xxhash64("id", F.lit(1)), F.col("late"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = at.select("id", "own", "root", "block", each("late").alias("part"))
+    late = at.where("part is not null").select("id", "own", "root", each("blocks").alias("block"), "part")
+    meet = materialize(whole.unionAll(late).select("id", "own", F.xxhash64("root", "block", "part").alias("chunk")).distinct(), "meet")
+    known = meet.select(F.col("id").alias("a"), F.col("own").alias("b"), "chunk")
+    return confirmed_links(f, rows, meet.select(F.col("id").alias("rid"), "chunk"), known, known=True)
+
+
 def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     """rows (rid, text), rid unique: (rid, n_shingles, root), by what is said at
     near_duplicates."""
@@ -393,7 +424,7 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / f.room)).cast("long")
     placed = materialize(
-        sized.join(total, "root").select("id", "root", chunks.alias("chunks"), F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("chunk")), "chunks"
+        sized.join(total, "root").select("id", "root", "n", chunks.alias("chunks"), F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("chunk")), "chunks"
     )
     want = placed.select(F.col("id").alias("rid"), "chunk")
     a = placed.select(F.col("id").alias("a"), F.col("chunk").alias("chunk_a"))
@@ -417,7 +448,8 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
         left = left.join(known.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
         left = materialize(left.where("not coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b", F.xxhash64("a", "b").alias("chunk")), "between")
         alone = left.select(F.col("a").alias("rid"), "chunk").unionAll(left.select(F.col("b").alias("rid"), "chunk"))
-        links = links.unionAll(confirmed_links(f, rows, alone, left))
+        links = materialize(links.unionAll(confirmed_links(f, rows, alone, left)), "links")
+        links = links.unionAll(links_between(f, rows, large.select("id", "root", "n"), links))
     found = components(links)
     return counts.join(found, counts.rid == found.id, "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rid").alias("root"))
 
@@ -441,7 +473,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     and a prefix join finds what links the neighbours have missed, so that no
     window of neighbours decides. Beyond `room` they are dealt out by hash, the
     first eight documents go with every chunk, and pairs of neighbours between
-    chunks are confirmed for themselves.
+    chunks are confirmed for themselves; then all that is not in the largest
+    component so far meets everything, block against block.
     """
     rows, same = keyed_rows(docs)
     out = component_roots(rows, forest)

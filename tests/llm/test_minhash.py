@@ -87,6 +87,19 @@ def test_dense_group(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(rows, 85))
 
 
+def test_group_beyond_room(spark):
+    """A group of some 50 chunks in which each document is similar to the one
+    it was made from and to those made from it, wherever they were dealt."""
+    r = random.Random(4)
+    rows = [(0, " ".join("b%d" % i for i in range(120)))]
+    for i in range(1, 400):
+        w = r.choice(rows[-60:])[1].split()
+        w[r.randrange(len(w))] = "e%d" % i
+        rows.append((i, " ".join(w)))
+    out = near_duplicates(frame(spark, rows), Forest(room=1000)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(rows, 85))
+
+
 def test_same_and_null_ids(spark):
     t = "one two three four five six seven"
     out = near_duplicates(frame(spark, [(None, t), (4, t), (4, t), (4, "other words stand here alone now")])).collect()
