@@ -94,6 +94,15 @@ def _prefix_keys(sig: np.ndarray, tree: int, depths: list[int]) -> list[np.ndarr
     return out
 
 
+def _own_prefix(f: Forest, tree: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+    """_prefix_keys at `depth`, from the columns that are sent along."""
+    h = (tree + 1).astype(np.uint64)
+    for d in range(f.depth):
+        v = cols[d // 2] & np.uint64(0xFFFFFFFF) if d % 2 else cols[d // 2] >> np.uint64(32)
+        h = mix64(h ^ (v + np.uint64((d + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
+    return h
+
+
 def _depths(f: Forest) -> list[int]:
     return [f.depth, 8, 16, 32]
 
@@ -159,7 +168,7 @@ def _count_prefixes(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 def crowded_prefixes(f: Forest, rows: DataFrame) -> np.ndarray:
     """Prefixes of a hundredth of at most about SAMPLE documents; they decide
-    routes alone. There are at most a hundred for each tree and depth."""
+    routes alone: the tasks that hold one are linked again by `met`. There are at most a hundred for each tree and depth."""
     every = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("rid", "text")
     found = some.mapInArrow(partial(_count_prefixes, f), "h long").groupBy("h").count().where(F.col("count") >= max(16, int(SAMPLE * CROWDED))).select("h").collect()
@@ -203,9 +212,10 @@ def candidate_pairs(f: Forest, tree, rid, one, cols) -> tuple[np.ndarray, np.nda
     return both[0], both[1]
 
 
-def _regions(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(f: Forest, crowded: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds: count and copy pass; pair (larger, smaller rid); near (row, first
-    row that this task's pairs lead it to), by which candidates hang together."""
+    row that this task's pairs lead it to), by which candidates hang together;
+    met (crowded prefix, its first row here), as other tasks hold more of it."""
     got: dict[str, list[bytes]] = defaultdict(list)
     for batch in batches:
         read_blobs([batch], got)
@@ -225,7 +235,10 @@ def _regions(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     copy = ~new & (tree == 0)
     tree, own, one, cols = tree[new], rid[new], one[new], [c[new] for c in cols]
     a, b = candidate_pairs(f, tree, own, one, cols)
-    yield blob_batch([("copy", 0, pack(rid[copy], first[copy])), ("pair", 0, pack(a, b)), ("near", 0, pack(*gathered(a, b)))])
+    prefixes = _own_prefix(f, tree, cols)
+    many = np.flatnonzero(np.isin(prefixes, crowded))
+    shared, at = np.unique(prefixes[many], return_index=True)
+    yield blob_batch([("met", 0, pack(shared.view(np.int64), own[many[at]])), ("copy", 0, pack(rid[copy], first[copy])), ("pair", 0, pack(a, b)), ("near", 0, pack(*gathered(a, b)))])
 
 
 def _rows_of(kind: str, table: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -241,6 +254,14 @@ def _rows_of(kind: str, table: DataFrame, names: tuple[str, str]) -> DataFrame:
     return table.where(F.col("kind") == kind).select("blob").mapInArrow(open_blobs, ", ".join(f"{n} long" for n in names))
 
 
+def met(table: DataFrame) -> DataFrame:
+    """Links (a, b) between the tasks that hold rows of one crowded prefix. Inside
+    a task neighbours link them all, so that one row of each task is enough."""
+    rows = _rows_of("met", table, ("h", "a"))
+    least = rows.groupBy("h").agg(F.min("a").alias("b"))
+    return rows.join(least, "h").where("a <> b").select("a", "b")
+
+
 # -- confirming ---------------------------------------------------------------------
 
 
@@ -415,11 +436,11 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     parts = n_parts(rows.sparkSession)
     crowded = crowded_prefixes(f, rows)
     dealt = deal(rows.select("rid", "text").mapInArrow(partial(_map_signatures, f, parts, crowded), BLOB_SCHEMA), parts)
-    table = materialize(dealt.mapInArrow(partial(_regions, f, parts), BLOB_SCHEMA), "forest")
+    table = materialize(dealt.mapInArrow(partial(_regions, f, crowded), BLOB_SCHEMA), "forest")
     counts = _rows_of("count", table, ("rid", "n"))
     copies = _rows_of("copy", table, ("a", "b"))
     pairs = materialize(_rows_of("pair", table, ("a", "b")).distinct(), "pairs")
-    near = components(_rows_of("near", table, ("a", "b")))
+    near = components(_rows_of("near", table, ("a", "b")).unionAll(met(table)))
     sized = near.join(counts, near.id == counts.rid).select("id", "root", "n")
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / f.room)).cast("long")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm.graph import components
-from strandline.llm.minhash import Forest, near_duplicates
+from strandline.llm.minhash import Forest, near_duplicates, shingle_sets, signatures
 
 SCHEMA = "doc_id long, text string, n int, root string"
 
@@ -100,6 +101,33 @@ def test_group_beyond_room(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(rows, 85))
 
 
+def test_crowded_prefix_over_many_tasks(spark):
+    """One tree, one prefix of four values that most documents share, 64 tasks:
+    whoever shares it is a candidate, also where longer prefixes differ."""
+    f, r = Forest(trees=1), random.Random(6)
+    base = ["b%d" % i for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randint(2, 4)):
+            w[r.randrange(len(w))] = "e%d" % r.randint(0, 10**6)
+        rows.append((i, " ".join(w)))
+    raw = [t.encode() for _, t in rows]
+    sets, at = shingle_sets(f.words, np.cumsum([0] + [len(x) for x in raw]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8))
+    sig = signatures(sets, at, 8)
+    assert len(np.unique(sig, axis=0)) > 20
+    largest = max((tuple(x) for x in sig[:, :4].tolist()), key=[tuple(x) for x in sig[:, :4].tolist()].count)
+    crowd = [x for x, s in zip(rows, sig[:, :4].tolist(), strict=True) if tuple(s) == largest]
+    assert len(crowd) >= 100
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = near_duplicates(frame(spark, crowd), f).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(crowd, 85))
+
+
 def test_same_and_null_ids(spark):
     t = "one two three four five six seven"
     out = near_duplicates(frame(spark, [(None, t), (4, t), (4, t), (4, "other words stand here alone now")])).collect()
