@@ -41,6 +41,12 @@ def wide(spark, sf_dir) -> DataFrame:
     return dataset.array_matrix(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", D)
 
 
+def full(spark, sf_dir) -> DataFrame:
+    """All elements of the vectors; for queries that have no SQL."""
+    e = table(spark, sf_dir, "embeddings")
+    return dataset.array_matrix(e, "vec_id", "embedding", e.agg(F.max(F.size("embedding"))).head()[0] or 0)
+
+
 def long(spark, sf_dir) -> DataFrame:
     return dataset.to_long(wide(spark, sf_dir))
 
@@ -432,7 +438,7 @@ def mcdep_mixed(spark, sf_dir):
 
 @query()
 def stream_contrast_ewma(spark, sf_dir):
-    return _rounded(searcher.stream_contrast(wide(spark, sf_dir), 100, 20, m=10))
+    return _rounded(searcher.stream_contrast(full(spark, sf_dir), 100, 20, m=10))
 
 
 @query()
@@ -483,12 +489,12 @@ def levelwise_top(spark, sf_dir):
 
 @query()
 def levelwise_search(spark, sf_dir):
-    return _rounded(search.levelwise_search(wide(spark, sf_dir), 12, 10, m=10))
+    return _rounded(search.levelwise_search(full(spark, sf_dir)))
 
 
 @query()
 def greedy_search(spark, sf_dir):
-    return _rounded(search.greedy_search(wide(spark, sf_dir), m=10))
+    return _rounded(search.greedy_search(full(spark, sf_dir)))
 
 
 # -- streaming search ----------------------------------------------------------------------------------------
@@ -579,12 +585,12 @@ def stream_miner_lof(spark, sf_dir):
 
 @query()
 def stream_miner_hash(spark, sf_dir):
-    return _rounded(outliers.stream_miner(wide(spark, sf_dir), 100, 50, "hash"))
+    return _rounded(outliers.stream_miner(full(spark, sf_dir), 100, 50, "hash"))
 
 
 @query()
 def stream_miner_full(spark, sf_dir):
-    return _rounded(outliers.stream_miner(wide(spark, sf_dir), 100, 50, "lof", 10))
+    return _rounded(outliers.stream_miner(full(spark, sf_dir), 100, 50, "lof", 10))
 
 
 @query("SELECT DISTINCT l_linenumber % 4 AS key, list_sort(list_distinct([(l_quantity % 5)::INT, l_linenumber % 5])) AS dims FROM lineitem")
