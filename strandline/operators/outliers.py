@@ -7,10 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import MODULUS, draw, draw_np
+from ..plans.tables import materialize
 from .dataset import dims_of, row_count, windows_of
 
 CELLS, HASHES = 10_000, 4  # counters in a sketch, hashes of a cell
@@ -64,8 +65,64 @@ def lof(windows: DataFrame, k: int, subspaces: list[list[int]] | None = None) ->
     return windows.groupBy("window").applyInPandas(lambda f: _lof_group(cols, sets, k, f), "window long, row_id long, score double")
 
 
+def _near_in_block(cols: list[str], sets: list[list[int]], k: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block (asks) with those of another that are within the k-th
+    distance there, ties included; the k-th of all blocks is no larger."""
+    a, b = frame[frame["asks"]], frame[~frame["asks"]]
+    xs, ys, left, right = a[cols].to_numpy(float), b[cols].to_numpy(float), a["row_id"].to_numpy(), b["row_id"].to_numpy()
+    out = []
+    for number, dims in enumerate(sets):
+        for at in range(0, len(a), 512):
+            own = left[at : at + 512]
+            d = np.zeros((len(own), len(b)))
+            for i in dims:
+                d += (xs[at : at + 512, i, None] - ys[None, :, i]) ** 2
+            np.sqrt(d, out=d)
+            d[own[:, None] == right[None]] = np.inf
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(b) >= k else np.full((len(own), 1), np.inf)
+            row, col = np.nonzero((d <= kth) & (own[:, None] != right[None]))
+            out.append(pd.DataFrame({"part": number, "row_id": own[row], "other": right[col], "d": d[row, col]}))
+    return pd.concat(out) if out else pd.DataFrame({"part": [], "row_id": [], "other": [], "d": []})
+
+
+def blocked_lof(wide: DataFrame, k: int, subspaces: list[list[int]] | None = None) -> DataFrame:
+    """(row_id, score): what lof gives for the whole table as one window, for any
+    number of rows with a row_id of their own. Blocks of rows meet block by
+    block; each row's nearest of all blocks are then merged."""
+    cols, n = dims_of(wide), row_count(wide)
+    sets = subspaces or [list(range(len(cols)))]
+    k, blocks = min(k, n - 1), max(1, math.ceil(4 * n / WINDOW_ROWS))
+    if k < 1:
+        return wide.select("row_id", F.lit(1.0).alias("score"))
+    rows = wide.withColumn("own", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = rows.select("row_id", *cols, F.col("own").alias("i"), each.alias("j"), F.lit(True).alias("asks"))
+    told = rows.select("row_id", *cols, each.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    near = asks.unionByName(told).groupBy("i", "j").applyInPandas(lambda f: _near_in_block(cols, sets, k, f), "part int, row_id long, other long, d double")
+    near = materialize(near, "near")
+    w = Window.partitionBy("part", "row_id")
+    place = F.row_number().over(w.orderBy("d"))
+    kth = near.withColumn("place", place).where(F.col("place") == k).select("part", "row_id", F.col("d").alias("kth"))
+    near = materialize(near.join(kth, ["part", "row_id"]).where("d <= kth").drop("kth"), "near")
+    reach = near.join(kth.select("part", F.col("row_id").alias("other"), "kth"), ["part", "other"]).withColumn("reach", F.greatest("kth", "d"))
+    total = F.sum("reach")
+    density = reach.groupBy("part", "row_id").agg(F.when(total == 0, F.lit(math.inf)).otherwise(F.try_divide(F.count("*"), total)).alias("density"))
+    density = materialize(density, "density")
+    theirs = density.select("part", F.col("row_id").alias("other"), F.col("density").alias("theirs"))
+    mean = near.join(theirs, ["part", "other"]).join(density, ["part", "row_id"]).groupBy("part", "row_id").agg(F.avg(F.col("theirs") / F.col("density")).alias("m"))
+    finite = F.when(F.isnan("m") | (F.col("m") == math.inf), 1.0).otherwise(F.col("m"))
+    return mean.groupBy("row_id").agg(F.avg(finite).alias("score"))
+
+
+def whole_lof(wide: DataFrame, k: int, subspaces: list[list[int]] | None = None) -> DataFrame:
+    """The table as one window: in one task, or beyond WINDOW_ROWS by blocks."""
+    if row_count(wide) > WINDOW_ROWS:
+        return blocked_lof(wide, k, subspaces)
+    return lof(wide.withColumn("window", F.lit(0).cast("long")), k, subspaces).select("row_id", "score")
+
+
 def full_space_lof(wide: DataFrame, k: int = 10) -> DataFrame:
-    return lof(wide.withColumn("window", F.lit(0).cast("long")), k).select("row_id", "score")
+    return whole_lof(wide, k)
 
 
 # -- grid sketches ------------------------------------------------------------------------
@@ -171,6 +228,6 @@ def stream_miner(wide: DataFrame, size: int, step: int, detector: str = "lof", k
 def subspace_miner(wide: DataFrame, subspaces: list[list[int]], detector: str = "lof", k: int = 100) -> DataFrame:
     """(row_id, score): the mean over subspaces, on the whole table as a window."""
     if detector == "lof":
-        return lof(wide.withColumn("window", F.lit(0).cast("long")), k, subspaces).select("row_id", "score")
+        return whole_lof(wide, k, subspaces)
     n = row_count(wide)
     return stream_miner(wide, n, n, "hash", k, {0: subspaces})
