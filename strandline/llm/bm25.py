@@ -58,11 +58,37 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return text[:n], text[n:]
 
 
+@dataclass(frozen=True, eq=False)
+class Counts:
+    """What scores take from the whole benchmark: items that have a term, by its
+    hash; number of items; their terms."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    items: int
+    length: int
+
+    @staticmethod
+    def of(texts: list[str]) -> Counts:
+        hashes, first = terms_of(texts)
+        item = np.repeat(np.arange(len(texts)), np.diff(first))
+        terms, term = np.unique(hashes, return_inverse=True)
+        pair = np.unique(term.astype(np.int64) * max(len(texts), 1) + item)
+        return Counts(terms, np.bincount(pair // max(len(texts), 1), minlength=len(terms)), len(texts), len(hashes))
+
+    def __add__(self, other: Counts) -> Counts:
+        terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        df = np.zeros(len(terms), np.int64)
+        np.add.at(df, at, np.concatenate([self.df, other.df]))
+        return Counts(terms, df, self.items + other.items, self.length + other.length)
+
+
 class Index:
     """Postings of up to GROUP items: by term, items in order with their scores,
-    and the largest score in each block of items."""
+    and the largest score in each block of items. Scores are by the counts of
+    all items; without any, by those of its own."""
 
-    def __init__(self, ids: list, texts: list[str], options: Decontamination):
+    def __init__(self, ids: list, texts: list[str], options: Decontamination, counts: Counts | None = None):
         self.ids, self.options = ids, options
         hashes, first = terms_of(texts)
         n = np.diff(first)
@@ -71,8 +97,10 @@ class Index:
         pair, tf = np.unique(term.astype(np.int64) * len(texts) + item, return_counts=True)
         term, item = pair // max(len(texts), 1), pair % max(len(texts), 1)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(n.mean(), 1e-9)))
+        counts = counts or Counts.of(texts)
+        all_df = counts.df[np.searchsorted(counts.terms, self.terms)]
+        idf = np.log1p((counts.items - all_df + 0.5) / (all_df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(counts.length / max(counts.items, 1), 1e-9)))
         self.item, self.weight = item, weight
         self.at = np.concatenate([[0], np.cumsum(df)])
         own = np.bincount(item, weights=weight, minlength=len(texts))
@@ -209,12 +237,18 @@ def scan(indexes: list[Index], off: np.ndarray, buf: np.ndarray) -> dict[tuple[i
 
 def build_indexes(items: DataFrame, options: Decontamination) -> Iterator[list[Index]]:
     """Indexes of at most ITEMS items, one list after another: what the driver
-    and the tasks hold is bounded, however many test items there are."""
+    and the tasks hold is bounded, however many test items there are, but for
+    the terms' counts, which are those of all items."""
     rows = items.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = max(1, -(-rows.count() // ITEMS))
+    read = lambda b: sorted(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+    first = read(0)
+    counts = Counts.of([r.text for r in first])
+    for b in range(1, blocks):
+        counts += Counts.of([r.text for r in read(b)])
     for b in range(blocks):
-        own = sorted(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield [Index([r.item_id for r in own[a : a + GROUP]], [r.text for r in own[a : a + GROUP]], options) for a in range(0, len(own), GROUP)]
+        own = read(b) if b else first
+        yield [Index([r.item_id for r in own[a : a + GROUP]], [r.text for r in own[a : a + GROUP]], options, counts) for a in range(0, len(own), GROUP)]
 
 
 PAIRS = "rid long, item_id long, passage long, score double, question_overlap double, answer_overlap double"

@@ -97,6 +97,22 @@ def test_leaks(spark, monkeypatch, group):
         assert sorted(r.doc_id for r in clean.collect()) == sorted({a for a, *_ in docs} - {a for a, _ in got})
 
 
+def test_scores_do_not_depend_on_groups(spark, monkeypatch):
+    """Whatever index or pass an item is in, its terms weigh the same."""
+    _, items = corpus()
+    i = spark.createDataFrame(items, ITEMS)
+
+    def own():
+        indexes = [x for y in bm25.build_indexes(i, Decontamination()) for x in y]
+        return {(k, round(float(v), 9)) for x in indexes for k, v in zip(x.ids, x.least, strict=True)}
+
+    whole = own()
+    monkeypatch.setattr(bm25, "GROUP", 7)
+    assert own() == whole
+    monkeypatch.setattr(bm25, "ITEMS", 10)
+    assert own() == whole
+
+
 def test_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
