@@ -71,6 +71,20 @@ def _order(seed: int, epoch: Column, rid: Column) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), rid)
 
 
+def _quotas(shared: DataFrame, alpha: float, mix: Mix) -> DataFrame:
+    """(of, all, quota): the tokens that each source (source, tokens) gives."""
+    w = shared.select("source", "tokens", (F.col("tokens") ** F.lit(alpha)).alias("w"))
+    if mix.budget is None:
+        scale = w.agg((F.lit(1.0) / F.min(F.col("w") / F.col("tokens"))).alias("scale"))
+    else:
+        scale = w.agg((F.lit(float(mix.budget)) / F.sum("w")).alias("scale"))
+    quota = F.floor(F.col("w") * F.col("scale") + F.lit(1e-6)).cast("long")
+    if mix.budget is None:
+        # doubles may round a large source's quota below its own tokens
+        quota = F.greatest(quota, F.col("tokens"))
+    return w.crossJoin(F.broadcast(scale)).select(F.col("source").alias("of"), F.col("tokens").alias("all"), quota.alias("quota"))
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Weights are token shares to the power of an exponent, bisected to meet
     the target. Each source then gets its weight's part of the budget: whole
@@ -105,13 +119,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # unsigned order of the hash, so that blocks follow one another
     rank = lambda place: place.bitwiseXOR(F.lit(-(1 << 63)))
     alpha = _bisect_exponent(shared, mix) if shared.limit(1).head(1) else 1.0
-    w = shared.select("source", "tokens", (F.col("tokens") ** F.lit(alpha)).alias("w"))
-    if mix.budget is None:
-        scale = w.agg((F.lit(1.0) / F.min(F.col("w") / F.col("tokens"))).alias("scale"))
-    else:
-        scale = w.agg((F.lit(float(mix.budget)) / F.sum("w")).alias("scale"))
-    quota = F.floor(F.col("w") * F.col("scale") + F.lit(1e-6)).cast("long")
-    paid = w.crossJoin(F.broadcast(scale)).select(F.col("source").alias("of"), F.col("tokens").alias("all"), quota.alias("quota"))
+    paid = _quotas(shared, alpha, mix)
     plan = per.select("source").join(paid, F.col("source").eqNullSafe(F.col("of")), "left").select("source", F.coalesce("all", F.lit(0)).alias("tokens"), F.coalesce("quota", F.lit(0)).alias("quota"))
     plan = materialize(
         plan.select(

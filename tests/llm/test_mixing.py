@@ -87,6 +87,14 @@ def test_draws(spark, mix, monkeypatch):
     assert out.schema["row"].dataType.names == df.columns
 
 
+def test_large_sources_give_all_their_tokens(spark):
+    """Where rounding errors exceed a token's millionth, none gives less than it has."""
+    r = random.Random(2)
+    for alpha in (0.37, 0.71, 1.0):
+        shared = spark.createDataFrame([(str(i), 10**15 + r.randrange(10**14)) for i in range(50)], "source string, tokens long")
+        assert not mixing._quotas(shared, alpha, Mix()).where("quota < all").collect()
+
+
 def test_same_ids_and_empty(spark):
     rows = [(1, "a b c", "x", "", ""), (1, "a b c", "x", "", ""), (None, "d e", "y", "", ""), (None, None, None, "", "")]
     out = mix_sources(spark.createDataFrame(rows, SCHEMA), Mix(max_repeats=3.0)).select("row.*").collect()
