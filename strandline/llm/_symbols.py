@@ -75,6 +75,33 @@ def word_hashes(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lower: bool = F
     return out
 
 
+def word_numbers(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal words alone: hashes group the
+    words, their bytes decide."""
+    if not len(ws):
+        return np.empty(0, np.int64)
+    _, first, number = np.unique(word_hashes(buf, ws, we), return_index=True, return_inverse=True)
+    own = first[number]
+    n = we - ws
+    wrong = n != n[own]
+    eight = np.ndarray((len(buf) + 8,), "<u8", np.concatenate([buf, np.zeros(16, np.uint8)]), strides=(1,))
+    left = np.flatnonzero((own != np.arange(len(ws))) & ~wrong)
+    for i in left[n[left] > 4096].tolist():
+        wrong[i] = not np.array_equal(buf[ws[i] : we[i]], buf[ws[own[i]] : we[own[i]]])
+    left, at = left[n[left] <= 4096], 0
+    while len(left):
+        x = eight[ws[left] + at] ^ eight[ws[own[left]] + at]
+        rest = n[left] - at
+        # bytes behind a word's end don't count
+        x <<= np.where(rest < 8, 64 - 8 * np.minimum(rest, 8), 0).astype(np.uint64)
+        wrong[left[x != 0]] = True
+        left, at = left[(x == 0) & (rest > 8)], at + 8
+    if wrong.any():  # two words of one hash
+        raw, seen = buf.tobytes(), {}
+        number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(ws.tolist(), we.tolist(), strict=True)])
+    return number
+
+
 def window_hashes(sym: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` symbols, computed in chunks."""
     n = len(sym) - width + 1

@@ -15,12 +15,13 @@ SHALLOW = 32
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place, big-endian; buf ends in 8 spare bytes."""
-    n = len(buf) - 8
-    w = np.zeros(n, np.uint64)
-    for j in range(8):
-        w |= buf[j : n + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-    return w
+    """The 8 bytes from each place, big-endian, as a view; buf ends in 8 spare
+    bytes."""
+    return np.ndarray((len(buf) - 8,), ">u8", buf, strides=(1,))
+
+
+def _at(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return words[places].astype(np.uint64)
 
 
 def _elements(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,9 +31,9 @@ def _elements(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[which] + at, which
 
 
-def _multikey_quicksort(words, pos, order, shallow):
-    """Sort `order` in place; returns the ranges that share `shallow` bytes."""
-    lo, size, depth = np.array([0]), np.array([len(pos)]), np.array([0])
+def _multikey_quicksort(words, pos, order, shallow, lo, size):
+    """Sort ranges of `order` in place; returns those that share `shallow` bytes."""
+    depth = np.zeros(len(lo), np.int64)
     deep_lo, deep_size = [], []
     while True:
         live = size > 1
@@ -41,7 +42,7 @@ def _multikey_quicksort(words, pos, order, shallow):
             break
         at, which = _elements(lo, size)
         own = order[at]
-        key = words[pos[own] + depth[which]]
+        key = _at(words, pos[own] + depth[which])
         base = np.cumsum(size) - size
         a, b, c = key[base], key[base + size // 2], key[base + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[which]
@@ -66,36 +67,36 @@ def _multikey_quicksort(words, pos, order, shallow):
 
 
 def _common(words, p, q, depth, limit):
-    """Bytes that suffixes p and q share, at most `limit`, from a depth to which
-    they are known to be equal."""
+    """Bytes that suffixes p and q share, at most `limit` (of each pair), from a
+    depth to which they are known to be equal."""
     shared = depth.copy()
     live = np.flatnonzero(shared < limit)
     while len(live):
-        x = words[p[live] + shared[live]] ^ words[q[live] + shared[live]]
+        x = _at(words, p[live] + shared[live]) ^ _at(words, q[live] + shared[live])
         same = x == 0
         lead = np.zeros(len(live), np.int64)  # leading bytes that agree
         for j in range(1, 8):
             lead += x < np.uint64(1 << (64 - 8 * j))
         shared[live] += np.where(same, 8, lead)
-        live = live[same & (shared[live] < limit)]
+        live = live[same & (shared[live] < limit[live])]
     return np.minimum(shared, limit)
 
 
 def _blind_tries(words, pos, order, same, lo, size, shallow, limit):
-    """Order each range and mark suffixes equal to the one before to `limit`."""
+    """Order each range and mark suffixes equal to the one before to its `limit`."""
     depth = np.full(len(lo), shallow, np.int64)
     while len(lo):
         at, which = _elements(lo, size)
         own = order[at]
         path = pos[order[lo]][which]
-        p = pos[own]
-        shared = _common(words, path, p, depth[which], limit)
-        equal = shared >= limit
-        reach = np.minimum(shared, limit - 1)
-        byte = (words[p + reach] >> np.uint64(56)).astype(np.int64)
-        below = ~equal & (byte < (words[path + reach] >> np.uint64(56)).astype(np.int64))
+        p, end = pos[own], limit[own]
+        shared = _common(words, path, p, depth[which], end)
+        equal = shared >= end
+        reach = np.minimum(shared, end - 1)
+        byte = (_at(words, p + reach) >> np.uint64(56)).astype(np.int64)
+        below = ~equal & (byte < (_at(words, path + reach) >> np.uint64(56)).astype(np.int64))
         # below the path: early branches first; above it: late branches first
-        branch = np.where(equal, 1 << 20, np.where(below, shared * 256 + byte, (1 << 20) + 1 + (limit - shared) * 256 + byte))
+        branch = np.where(equal, 1 << 20, np.where(below, shared * 256 + byte, (1 << 20) + 1 + (end - shared) * 256 + byte))
         key = which * (1 << 22) + branch
         sort = np.argsort(key, kind="stable")
         order[at] = own[sort]
@@ -109,17 +110,27 @@ def _blind_tries(words, pos, order, same, lo, size, shallow, limit):
         lo, size, depth = at[start[again]], count[again], shared[start[again]] + 1
 
 
-def suffix_order(buf: np.ndarray, pos: np.ndarray, limit: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sort the suffixes of buf that start at pos by their first `limit` bytes,
-    all of which must exist. Returns the order and, by place in it, whether the
-    suffix has the same first `limit` bytes as the one before."""
+def suffix_order(buf: np.ndarray, pos: np.ndarray, limit: int | np.ndarray, shallow: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the suffixes of buf that start at pos by their first `limit` bytes (8
+    to 4000), all of which must exist. With `group` only suffixes of one group are
+    compared, and each group has a limit of its own. Returns the order and, by
+    place in it, whether the suffix has the same first `limit` bytes as the one
+    before in its group."""
     order = np.arange(len(pos))
     same = np.zeros(len(pos), bool)
     if len(pos):
-        words = _words(np.concatenate([buf, np.zeros(limit + 16, np.uint8)]))
-        shallow = max(8, min(shallow, limit // 8 * 8))
-        if limit < 8:
-            raise ValueError("limit must be 8 bytes at least")
-        lo, size = _multikey_quicksort(words, pos, order, shallow)
+        limit = np.broadcast_to(np.asarray(limit, np.int64), len(pos))
+        least = int(limit.min())
+        if least < 8 or int(limit.max()) > 4000:
+            raise ValueError("limit must be 8 to 4000 bytes")
+        lo = np.array([0])
+        if group is not None:
+            order = np.argsort(group, kind="stable")
+            own = group[order]
+            lo = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        size = np.diff(np.append(lo, len(pos)))
+        words = _words(np.concatenate([buf, np.zeros(16, np.uint8)]))
+        shallow = max(8, min(shallow, least // 8 * 8))
+        lo, size = _multikey_quicksort(words, pos, order, shallow, lo, size)
         _blind_tries(words, pos, order, same, lo, size, shallow, limit)
     return order, same

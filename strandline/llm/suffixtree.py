@@ -43,21 +43,34 @@ def prefix_groups(sym: np.ndarray, pos: np.ndarray, limit: int, most: int = GROU
     return done
 
 
-def deep_nodes(sym: np.ndarray, pos: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tree of the suffixes at pos, to `limit` words. Returns the leaves in
-    order and the start of each deep node's run of leaves; leaves of no deep
-    node are left out."""
-    leaf = np.arange(len(pos))
-    lo, size = np.array([0]), np.array([len(pos)])
-    for depth in range(limit):
+def deep_nodes(sym: np.ndarray, pos: np.ndarray, limit: int | np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the suffixes at pos, to `limit` words. With `group` a tree for
+    each group, with a limit of its own. Returns the leaves in order and the start
+    of each deep node's run of leaves; leaves of no deep node are left out."""
+    limit = np.broadcast_to(np.asarray(limit, np.int64), len(pos))
+    leaf, lo = np.arange(len(pos)), np.array([0])
+    if group is not None:
+        leaf = np.argsort(group, kind="stable")
+        own = group[leaf]
+        lo = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    size = np.diff(np.append(lo, len(pos)))
+    deep_lo, deep_size = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    depth = 0
+    while True:
         live = size > 1
         lo, size = lo[live], size[live]
+        deep = limit[leaf[lo]] <= depth
+        if deep.any():
+            deep_lo.append(lo[deep])
+            deep_size.append(size[deep])
+            lo, size = lo[~deep], size[~deep]
         if not len(lo):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            break
         which = np.repeat(np.arange(len(lo)), size)
         base = np.cumsum(size) - size
         at = lo[which] + np.arange(len(which)) - base[which]
         key = sym[pos[leaf[at]] + depth].astype(np.int64)
+        depth += 1
         parts = np.minimum.reduceat(key, base) != np.maximum.reduceat(key, base)
         if not parts.any():
             continue
@@ -70,10 +83,7 @@ def deep_nodes(sym: np.ndarray, pos: np.ndarray, limit: int) -> tuple[np.ndarray
         start = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
         lo = np.concatenate([lo[~parts], a[start]])
         size = np.concatenate([size[~parts], np.diff(np.append(start, len(mark)))])
-    deep = size > 1
-    lo, size = lo[deep], size[deep]
-    if not len(lo):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    lo, size = np.concatenate(deep_lo), np.concatenate(deep_size)
     base = np.cumsum(size) - size
     which = np.repeat(np.arange(len(lo)), size)
     return leaf[lo[which] + np.arange(len(which)) - base[which]], base

@@ -124,3 +124,53 @@ def test_kernels():
         for leaf, node in zip(leaves, nodes):
             found.setdefault(int(node), set()).add(int(pos[leaf]))
         assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_wholes():
+    """Suffixes of several groups, each with a length of its own, under hashes
+    that say nothing: the sort and the tree decide."""
+    from strandline.llm._repeats import Repeats, _collapse, _select
+    from strandline.llm.substring import _whole_bytes, _whole_words
+
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        n = 120
+        sizes = rng.choice([34, 41, 60], n)
+        own = [rng.integers(97, 99, s).astype(np.uint8) for s in sizes]
+        for i in range(0, n, 2):
+            j = int(rng.integers(0, n))
+            own[i] = own[j].copy()
+            if trial % 2:
+                own[i][int(rng.integers(0, len(own[i])))] ^= 1
+        word = trial % 4 > 1
+        if word:  # one word for each symbol, with other separators in each copy
+            texts = [b" " * int(rng.integers(1, 3)) + (b" " if i % 2 else b"\n").join(b"word%d" % c for c in x) for i, x in enumerate(own)]
+            texts = [t.strip() for t in texts]
+        else:
+            texts = [x.tobytes() for x in own]
+        off = np.cumsum([0] + [len(t) for t in texts]).astype(np.int64)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        rid = rng.integers(0, 20, n)
+        place = np.arange(n) << 8 | np.array([len(x) - 33 for x in own])
+        job = Repeats("word" if word else "byte", 34, 8, bool(trial % 3), None, _whole_words if word else _whole_bytes)
+        got = _collapse(job, np.zeros(n, np.uint64), rid, place, lambda rows: _select(rows, off, buf))
+        first = {}
+        for i in sorted(range(n), key=lambda i: (rid[i], place[i])):
+            j = first.setdefault(own[i].tobytes(), i)
+            assert got[i] == ((rid[i] != rid[j]) if job.between else i != j)
+
+
+def test_word_numbers():
+    from strandline.llm import _symbols
+
+    texts = [b"a", b"a", b"ab", b"abcdefgh", b"abcdefgh", b"abcdefghi", b"abcdefghj", b"x" * 5000, b"x" * 5000, b"x" * 4999 + b"y", b"ab"]
+    buf = np.frombuffer(b" ".join(texts), np.uint8)
+    ws, we, _ = _symbols.word_spans(np.array([0, len(buf)]), buf)
+    plain = _symbols.word_hashes
+    for hashes in (plain, lambda *a: np.zeros(len(texts), np.uint64)):
+        _symbols.word_hashes = hashes
+        try:
+            got = _symbols.word_numbers(buf, ws, we).tolist()
+        finally:
+            _symbols.word_hashes = plain
+        assert [got.index(x) for x in got] == [texts.index(x) for x in texts]
