@@ -4,6 +4,8 @@ row keys, and moving packed numpy columns between tasks by partition number."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -19,10 +21,12 @@ _ARROW_BLOB = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("blob", p
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is
-    unset (tests, notebooks) a temporary folder of this machine is set."""
+    """The folder all executors share: spark.checkpoint.dir. Only on a local master
+    (tests, notebooks) a temporary folder of this machine is set where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -38,8 +42,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+PART = 64 << 20  # bytes of source files for one partition, at most
+
+
+def n_parts(df: DataFrame) -> int:
+    """Partitions to deal df's rows to: spark.sql.shuffle.partitions, or more where
+    the files that df reads are larger than PART for each of those."""
+    set_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(x for i in range(leaves.size()) if (x := int(str(leaves.apply(i).stats().sizeInBytes()))) < 1 << 60)  # above: not known
+    return max(set_, min(-(-size // PART), 1 << 17))
+
+
+def frees(f):
+    """For a generator that runs in a Python worker: give freed memory back to the
+    system at its end, as the worker stays for other tasks."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
 
 
 def keyed_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", carry: bool = False) -> tuple[DataFrame, bool]:
@@ -57,11 +87,10 @@ def keyed_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     rest = ["row"] if carry else []
     if not odd.head(1):
         return rows.select(F.col("key").cast("long").alias("rid"), "key", "text", *rest), True
-    spark = docs.sparkSession
     # a text's first characters are enough to deal rows out by, and all that the
     # sample of the ranges brings to the driver
     key, start = F.col("key").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()
-    ranged = rows.repartitionByRange(n_parts(spark), key, start).sortWithinPartitions(key, F.col("text").asc_nulls_first())
+    ranged = rows.repartitionByRange(n_parts(rows), key, start).sortWithinPartitions(key, F.col("text").asc_nulls_first())
     return materialize(ranged.select(F.monotonically_increasing_id().alias("rid"), "key", "text", *rest), "keyed"), False
 
 

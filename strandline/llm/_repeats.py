@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLOB_SCHEMA, blob_batch, deal, id_part, materialize, mix64, n_parts, pack, pieces, range_part, read_blobs, split_by_part, unpack_all
+from ._common import BLOB_SCHEMA, blob_batch, deal, frees, id_part, materialize, mix64, n_parts, pack, pieces, range_part, read_blobs, split_by_part, unpack_all
 from ._symbols import anchors, byte_getter, word_hashes, word_spans
 
 SAMPLE = 4096  # documents by which hot anchors are found
@@ -110,6 +110,7 @@ def _collapse(job: Repeats, h, rid, place, cut) -> np.ndarray:
     return repeat
 
 
+@frees
 def _split_by_rid(kind: str, dtypes: tuple[str, ...], parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deal rows out by row number. Done where a written table is read, in tasks
     as large as the files, so that few blobs go from each task to each part."""
@@ -136,6 +137,7 @@ def _delta(h: np.ndarray) -> np.ndarray:
     return np.diff(h, prepend=np.uint64(0))
 
 
+@frees
 def _map_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -175,6 +177,7 @@ def _map_anchors(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa
 # -- 2. segments whose anchor others have --------------------------------------------
 
 
+@frees
 def _reduce_anchors(job: Repeats, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks pass through; rows `want` ask a text for a segment."""
     got: dict[str, list[bytes]] = defaultdict(list)
@@ -199,6 +202,7 @@ def _reduce_anchors(job: Repeats, hot: np.ndarray, batches: Iterator[pa.RecordBa
 # -- texts by document partition ----------------------------------------------------
 
 
+@frees
 def _pack_texts(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind `text`: row numbers and texts of those that go to one partition."""
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -239,6 +243,7 @@ def _segment_blob(rid, place, h, buf, start, size) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
+@frees
 def _cut_segments(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = read_blobs(batches, defaultdict(list))
     want = unpack_all(got.pop("want", []), ("i8", "i8", "u8", "u8"))
@@ -361,6 +366,7 @@ def _cut_windows(job: Repeats, parts: int, rid, place, h, off, buf) -> list[tupl
     return [("window", p, _segment_blob(rid[seg[r]], place[r], key[r], buf, first[r], (end - first)[r])) for p, r in split_by_part(range_part(mix64(key), parts))]
 
 
+@frees
 def _sort_segments(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds: mark, and window for what is left of hot anchors."""
     for rid, place, h, off, buf in _grouped(batches, "segment"):
@@ -378,6 +384,7 @@ def _sort_segments(job: Repeats, parts: int, hot: np.ndarray, batches: Iterator[
             yield blob_batch([("mark", 0, pack(*mark_windows(job, rid[rows], place[rows], *_select(rows, off, buf))))])
 
 
+@frees
 def _sort_windows(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rid, place, _, off, buf in _grouped(batches, "window"):
         yield blob_batch([("mark", 0, pack(*mark_windows(job, rid, place, off, buf)))])
@@ -388,6 +395,7 @@ def _sort_windows(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 RESULT_SCHEMA = "rid long, n long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
+@frees
 def _apply_marks(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = read_blobs(batches, defaultdict(list))
     rid, place = unpack_all(got["mark"], ("i8", "i8"))
@@ -447,6 +455,7 @@ def _apply_marks(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 # -- all ------------------------------------------------------------------------------
 
 
+@frees
 def _count_anchors(job: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, off, buf in pieces(batch, 0, 1):
@@ -468,7 +477,7 @@ def hot_anchors(job: Repeats, rows: DataFrame) -> np.ndarray:
 
 def remove_repeats(rows: DataFrame, job: Repeats) -> DataFrame:
     """rows: (rid, text), rid unique. Returns RESULT_SCHEMA, a row per row."""
-    parts = n_parts(rows.sparkSession)
+    parts = n_parts(rows)
     hot = hot_anchors(job, rows)
     dealt = deal(rows.select("rid", "text").mapInArrow(partial(_map_anchors, job, parts, hot), BLOB_SCHEMA), parts)
     first = materialize(dealt.mapInArrow(partial(_reduce_anchors, job, hot), BLOB_SCHEMA), "segments")

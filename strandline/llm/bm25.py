@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import give_back_key, keyed_rows, pieces
+from ._common import frees, give_back_key, keyed_rows, pieces, text_buffer
 from ._symbols import window_hashes, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
@@ -60,13 +60,14 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass(frozen=True, eq=False)
 class Counts:
-    """What scores take from the whole benchmark: items that have a term, by its
-    hash; number of items; their terms."""
+    """What scores and passages take from the whole benchmark: items that have a
+    term, by its hash; number of items; their terms; terms of the longest."""
 
     terms: np.ndarray
     df: np.ndarray
     items: int
     length: int
+    longest: int
 
     @staticmethod
     def of(texts: list[str]) -> Counts:
@@ -74,13 +75,13 @@ class Counts:
         item = np.repeat(np.arange(len(texts)), np.diff(first))
         terms, term = np.unique(hashes, return_inverse=True)
         pair = np.unique(term.astype(np.int64) * max(len(texts), 1) + item)
-        return Counts(terms, np.bincount(pair // max(len(texts), 1), minlength=len(terms)), len(texts), len(hashes))
+        return Counts(terms, np.bincount(pair // max(len(texts), 1), minlength=len(terms)), len(texts), len(hashes), int(np.diff(first).max(initial=0)))
 
     def __add__(self, other: Counts) -> Counts:
         terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
         df = np.zeros(len(terms), np.int64)
         np.add.at(df, at, np.concatenate([self.df, other.df]))
-        return Counts(terms, df, self.items + other.items, self.length + other.length)
+        return Counts(terms, df, self.items + other.items, self.length + other.length, max(self.longest, other.longest))
 
 
 class Index:
@@ -112,7 +113,7 @@ class Index:
         np.maximum.at(self.block_most, (term, item // BLOCK), weight)
         # float32 may have rounded a bound down
         self.block_most = np.nextafter(self.block_most, np.float32(np.inf), where=self.block_most > 0, out=self.block_most)
-        self.longest = int(n.max()) if len(n) else 0
+        self.longest = counts.longest
         # terms in more than `few` items can't lift an item to its threshold by
         # themselves: what they add to it at most is taken off, and the postings
         # of the others decide which items a passage may reach
@@ -211,7 +212,7 @@ def scan(indexes: list[Index], off: np.ndarray, buf: np.ndarray) -> dict[tuple[i
     out: dict[tuple[int, object], tuple[int, float, float, float]] = {}
     n = np.diff(first)
     for index in indexes:
-        if not index.longest:
+        if not len(index.terms):
             continue
         stride = max(16, index.longest // 2)
         width = index.longest + stride  # holds any item whole, wherever it stands
@@ -254,6 +255,7 @@ def build_indexes(items: DataFrame, options: Decontamination) -> Iterator[list[I
 PAIRS = "rid long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
 
 
+@frees
 def _scan_pairs(indexes: list[Index], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PAIRS.split(", ")]
     types = [pa.int64()] * 3 + [pa.float64()] * 3
@@ -269,8 +271,8 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, options: Decontaminati
 
     Terms are runs of letters, digits and non-ASCII characters, A-Z lowered.
     Every passage of every whole text is a query: passages are as long as the
-    longest item of an index plus half of that, and start that half apart, so
-    each place where an item can stand lies within one. An item is retrieved
+    longest item plus half of that, and start that half apart, so each place
+    where an item can stand lies within one. An item is retrieved
     where its score reaches `score` of what its own text scores, and reported
     where the shingles of its question and of its answer are found in the
     document, within an item's length around the passage.
@@ -290,9 +292,8 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, options: Decontaminati
     return give_back_key(found, rows, same)
 
 
+@frees
 def _keep_clean(indexes: list[Index], column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from ._common import text_buffer
-
     for batch in batches:
         off, buf = text_buffer(batch.column(batch.schema.get_field_index(column)))
         dirty = np.zeros(len(off) - 1, bool)

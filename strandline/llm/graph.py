@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import frees, materialize
 
 HELD = 1 << 21  # links that a task holds at once
 
@@ -32,6 +32,7 @@ def gathered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
+@frees
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links as stars, HELD of them at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLOB_SCHEMA, blob_batch, deal, id_part, keyed_rows, materialize, mix64, n_parts, pack, pieces, range_part, read_blobs, split_by_part, unpack_all
+from ._common import BLOB_SCHEMA, blob_batch, deal, frees, id_part, keyed_rows, materialize, mix64, n_parts, pack, pieces, range_part, read_blobs, split_by_part, unpack_all
 from ._repeats import _open_texts, texts_by_part
 from ._symbols import prefix, window_hashes, word_hashes, word_spans
 from .graph import components, gathered
@@ -36,15 +36,17 @@ class Forest:
     """percent: least similarity. depth: values that candidates share at least.
     With 16 trees a pair at 85 percent is missed by all of them with a chance of
     8 in a million at depth 4, one at 80 percent with 1 in 100,000 at depth 3.
-    region: rows above which a region's depth grows. room: shingles that one
-    task confirms at once."""
+    region: rows above which a region's depth grows. room: shingles of candidates
+    that hang together which are confirmed in one chunk; more are dealt out over
+    chunks. most: shingles in a block of those that are still apart then."""
 
     words: int = 5
     percent: int = 85
     trees: int = 16
     depth: int = 4
     region: int = 64
-    room: int = 1 << 22
+    room: int = 1 << 15
+    most: int = 1 << 21
 
 
 def shingle_sets(words: int, off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +125,7 @@ def _signed_sets(f: Forest, batches: Iterator[pa.RecordBatch]):
             yield rid, n, rid[full], n[full], *sums, signatures(sets, np.append(start, len(sets)), f.trees * TREE)
 
 
+@frees
 def _map_signatures(f: Forest, parts: int, crowded: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
@@ -159,6 +162,7 @@ def _map_signatures(f: Forest, parts: int, crowded: np.ndarray, batches: Iterato
         yield flush()
 
 
+@frees
 def _count_prefixes(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, _, _, _, _, sig in _signed_sets(f, batches):
         for t in range(f.trees):
@@ -167,8 +171,10 @@ def _count_prefixes(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def crowded_prefixes(f: Forest, rows: DataFrame) -> np.ndarray:
-    """Prefixes of a hundredth of at most about SAMPLE documents; they decide
-    routes alone: the tasks that hold one are linked again by `met`. There are at most a hundred for each tree and depth."""
+    """Prefixes of a hundredth of at most about SAMPLE documents, at most a hundred
+    for each tree and depth. They decide routes alone: rows of one crowded prefix
+    are dealt out by more values, and `met` makes those of all tasks hang together
+    again, so that all of them are compared."""
     every = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("rid", "text")
     found = some.mapInArrow(partial(_count_prefixes, f), "h long").groupBy("h").count().where(F.col("count") >= max(16, int(SAMPLE * CROWDED))).select("h").collect()
@@ -212,6 +218,7 @@ def candidate_pairs(f: Forest, tree, rid, one, cols) -> tuple[np.ndarray, np.nda
     return both[0], both[1]
 
 
+@frees
 def _regions(f: Forest, crowded: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds: count and copy pass; pair (larger, smaller rid); near (row, first
     row that this task's pairs lead it to), by which candidates hang together;
@@ -265,6 +272,7 @@ def met(table: DataFrame) -> DataFrame:
 # -- confirming ---------------------------------------------------------------------
 
 
+@frees
 def _pack_columns(kind: str, parts: int, by: int, part_of, batches):
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]
@@ -272,6 +280,7 @@ def _pack_columns(kind: str, parts: int, by: int, part_of, batches):
             yield blob_batch([(kind, p, pack(*(c[r] for c in cols))) for p, r in split_by_part(part_of(cols[by], parts))])
 
 
+@frees
 def _send_sets(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of wanted documents, to the tasks of their chunks."""
     got = read_blobs(batches, defaultdict(list))
@@ -295,6 +304,7 @@ def _send_sets(f: Forest, parts: int, batches: Iterator[pa.RecordBatch]) -> Iter
         yield blob_batch(out)
 
 
+@frees
 def _confirm(f: Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (rid, smallest rid it is linked with in its chunk). Pairs already
     in one component are passed over. Where a pair's last column is 1, the link
@@ -400,7 +410,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def confirmed_links(f: Forest, rows: DataFrame, want: DataFrame, pairs: DataFrame, known: bool = False) -> DataFrame:
     """want (rid, chunk): who goes to which chunk. pairs (a, b, chunk). known:
     the pairs are links already, and only new ones are looked for."""
-    parts = n_parts(rows.sparkSession)
+    parts = n_parts(rows)
     asked = want.select("rid", "chunk").mapInArrow(partial(_pack_columns, "want", parts, 0, id_part), BLOB_SCHEMA)
     sets = deal(texts_by_part(rows, parts).unionAll(asked), parts).mapInArrow(partial(_send_sets, f, parts), BLOB_SCHEMA)
     packed = pairs.select("a", "b", "chunk", F.lit(int(known)).cast("long")).mapInArrow(partial(_pack_columns, "pair", parts, 2, id_part), BLOB_SCHEMA)
@@ -411,16 +421,20 @@ def links_between(f: Forest, rows: DataFrame, large: DataFrame, links: DataFrame
     """large (id, root, n): candidates that hang together (root) with more than
     `room` shingles. The links among them that (a, b) of links do not imply.
     Of two that are in different components, one at least is outside the
-    largest; blocks of those meet every block of all, two blocks in one task."""
+    largest; blocks of those meet every block of all, two blocks in one task. A
+    block holds `room` shingles, or up to `most` where much is outside: then four
+    blocks hold all that is, so that nothing is sent more than some eight times
+    until even `most` is too little."""
     found = components(links).select(F.col("id").alias("of"), F.col("root").alias("found"))
     now = large.join(found, large.id == found.of, "left").select("id", "root", "n", F.coalesce("found", "id").alias("own"))
     now = materialize(now, "known")
     most = now.groupBy("root", "own").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "own")).alias("most"))
     most = most.select("root", F.col("most.own").alias("largest"))
-    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(0)) / F.lit(max(1, f.room // 2))).cast("long")
     outside = F.col("own") != F.col("largest")
-    per = now.join(F.broadcast(most), "root").groupBy("root", "largest").agg(blocks("n").alias("blocks"), blocks(F.when(outside, F.col("n"))).alias("late")).where("late > 0")
-    at = now.join(F.broadcast(materialize(per, "blocks")), "root")
+    per = now.join(most, "root").groupBy("root", "largest").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("late")).where("late > 0")
+    block = F.least(F.lit(f.most), F.greatest(F.lit(max(1, f.room)), F.ceil(F.col("late") / 4)))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("long")
+    at = now.join(materialize(per.select("root", "largest", blocks("all").alias("blocks"), blocks("late").alias("late")), "blocks"), "root")
     at = at.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.when(outside, F.pmod(F.xxhash64("id", F.lit(1)), F.col("late"))))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = at.select("id", "own", "root", "block", each("late").alias("part"))
@@ -433,7 +447,7 @@ def links_between(f: Forest, rows: DataFrame, large: DataFrame, links: DataFrame
 def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     """rows (rid, text), rid unique: (rid, n_shingles, root), by what is said at
     near_duplicates."""
-    parts = n_parts(rows.sparkSession)
+    parts = n_parts(rows)
     crowded = crowded_prefixes(f, rows)
     dealt = deal(rows.select("rid", "text").mapInArrow(partial(_map_signatures, f, parts, crowded), BLOB_SCHEMA), parts)
     table = materialize(dealt.mapInArrow(partial(_regions, f, crowded), BLOB_SCHEMA), "forest")
@@ -461,9 +475,9 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
         star = large.join(lead, "root").select(F.col("id").alias("a"), F.explode("lead").alias("b"), "chunk").where("a <> b")
         want = want.unionAll(each.select("rid", "chunk")).distinct()
         inside = inside.unionAll(star.select("a", "b", "chunk")).distinct()
-    links = copies.unionAll(confirmed_links(f, rows, want, inside))
+    # written before components reads it, which needs Python in the same tasks
+    links = materialize(copies.unionAll(confirmed_links(f, rows, want, inside)), "links")
     if split:
-        links = materialize(links, "links")
         known = components(links)
         left = both.where("chunk_a <> chunk_b").select("a", "b")
         left = left.join(known.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -490,12 +504,13 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     kept marks one row of each component.
 
     Equal sets are collapsed before pairs are formed. Candidates that hang
-    together meet in one task, up to `room` shingles: their pairs are confirmed,
+    together meet in one chunk, up to `room` shingles: their pairs are confirmed,
     and a prefix join finds what links the neighbours have missed, so that no
     window of neighbours decides. Beyond `room` they are dealt out by hash, the
-    first eight documents go with every chunk, and pairs of neighbours between
-    chunks are confirmed for themselves; then all that is not in the largest
-    component so far meets everything, block against block.
+    least document and up to eight others go with every chunk, and pairs of
+    neighbours between chunks are confirmed for themselves; then all that is not
+    in the largest component so far meets everything, block against block. So
+    `room` and `most` change what a task holds, and never a link.
     """
     rows, same = keyed_rows(docs)
     out = component_roots(rows, forest)

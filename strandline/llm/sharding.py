@@ -112,7 +112,7 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     The driver holds a number for each partition and each probe, never a group.
     """
-    parts = n_parts(docs.sparkSession)
+    parts = n_parts(docs)
     rows, _ = keyed_rows(docs)
     text = F.coalesce("text", F.lit(""))
     rows = materialize(

@@ -113,6 +113,18 @@ def test_scores_do_not_depend_on_groups(spark, monkeypatch):
     assert own() == whole
 
 
+def test_pairs_do_not_depend_on_groups(spark, monkeypatch):
+    docs, items = corpus()
+    d, i = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)
+    # what is retrieved, and not only what the check of shingles leaves
+    pairs = lambda: sorted((r.doc_id, r.item_id, r.passage, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in contaminated_pairs(d, i, Decontamination(overlap=0.0)).collect())
+    whole = pairs()
+    assert len(whole) > 40
+    for group in (64, 16, 4):
+        monkeypatch.setattr(bm25, "GROUP", group)
+        assert pairs() == whole
+
+
 def test_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}

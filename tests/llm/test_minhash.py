@@ -73,18 +73,19 @@ def test_all_pairs(spark, seed, forest):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == sorted(brute(rows, forest.percent))
 
 
-def test_dense_group(spark):
+@pytest.mark.parametrize("edits,forest", [(3, Forest()), (3, Forest(room=1 << 22)), (6, Forest(room=2800)), (4, Forest(room=2800, most=5000))])
+def test_dense_group(spark, edits, forest):
     """Very many copies of one text, each with edits of its own: links near the
-    threshold, of which neighbours alone miss some."""
+    threshold, of which neighbours alone miss some. In one chunk and in some 17."""
     r = random.Random(8)
     base = ["b%d" % i for i in range(120)]
     rows = []
     for i in range(400):
         w = list(base)
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, edits)):
             w[r.randrange(len(w))] = "e%d" % r.randint(0, 10**6)
         rows.append((i, " ".join(w)))
-    out = near_duplicates(frame(spark, rows), Forest()).collect()
+    out = near_duplicates(frame(spark, rows), forest).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == sorted(brute(rows, 85))
 
 
