@@ -3,6 +3,7 @@ every training passage by block-max WAND, and a check of question and answer."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -162,9 +163,9 @@ class Index:
                 for x in lists[: pivot + 1]:
                     x[0] += int(np.searchsorted(item[x[0] : x[1]], to))
             elif item[lists[0][0]] == at:
-                score = 0.0
+                # exactly rounded, so that the order of the lists changes nothing
+                score = math.fsum(weight[x[0]] for x in lists[: pivot + 1])
                 for x in lists[: pivot + 1]:
-                    score += float(weight[x[0]])
                     x[0] += 1
                 if score >= self.least[at] * (1 - 1e-9):
                     found.append((at, score))
