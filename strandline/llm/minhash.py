@@ -417,6 +417,12 @@ def confirmed_links(f: Forest, rows: DataFrame, want: DataFrame, pairs: DataFram
     return deal(sets.unionAll(packed), parts).mapInArrow(partial(_confirm, f), "a long, b long")
 
 
+def _hint(large: DataFrame):
+    """Broadcast a table with a row for each root of `large` where those are few.
+    Otherwise its joins are left to the planner, which splits hot roots."""
+    return F.broadcast if large.select("root").distinct().count() <= 20_000 else lambda df: df
+
+
 def links_between(f: Forest, rows: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
     """large (id, root, n): candidates that hang together (root) with more than
     `room` shingles. The links among them that (a, b) of links do not imply.
@@ -428,13 +434,14 @@ def links_between(f: Forest, rows: DataFrame, large: DataFrame, links: DataFrame
     found = components(links).select(F.col("id").alias("of"), F.col("root").alias("found"))
     now = large.join(found, large.id == found.of, "left").select("id", "root", "n", F.coalesce("found", "id").alias("own"))
     now = materialize(now, "known")
+    hint = _hint(now)
     most = now.groupBy("root", "own").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "own")).alias("most"))
     most = most.select("root", F.col("most.own").alias("largest"))
     outside = F.col("own") != F.col("largest")
-    per = now.join(most, "root").groupBy("root", "largest").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("late")).where("late > 0")
+    per = now.join(hint(most), "root").groupBy("root", "largest").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("late")).where("late > 0")
     block = F.least(F.lit(f.most), F.greatest(F.lit(max(1, f.room)), F.ceil(F.col("late") / 4)))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("long")
-    at = now.join(materialize(per.select("root", "largest", blocks("all").alias("blocks"), blocks("late").alias("late")), "blocks"), "root")
+    at = now.join(hint(materialize(per.select("root", "largest", blocks("all").alias("blocks"), blocks("late").alias("late")), "blocks")), "root")
     at = at.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.when(outside, F.pmod(F.xxhash64("id", F.lit(1)), F.col("late"))))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = at.select("id", "own", "root", "block", each("late").alias("part"))
@@ -456,10 +463,10 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     pairs = materialize(_rows_of("pair", table, ("a", "b")).distinct(), "pairs")
     near = components(_rows_of("near", table, ("a", "b")).unionAll(met(table)))
     sized = near.join(counts, near.id == counts.rid).select("id", "root", "n")
-    total = sized.groupBy("root").agg(F.sum("n").alias("total"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / f.room)).cast("long")
+    total = materialize(sized.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > f.room), "large")
+    chunks = F.ceil(F.coalesce(F.col("total"), F.lit(1)) / f.room).cast("long")
     placed = materialize(
-        sized.join(total, "root").select("id", "root", "n", chunks.alias("chunks"), F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("chunk")), "chunks"
+        sized.join(_hint(total)(total), "root", "left").select("id", "root", "n", chunks.alias("chunks"), F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("chunk")), "chunks"
     )
     want = placed.select(F.col("id").alias("rid"), "chunk")
     a = placed.select(F.col("id").alias("a"), F.col("chunk").alias("chunk_a"))
@@ -469,8 +476,10 @@ def component_roots(rows: DataFrame, f: Forest) -> DataFrame:
     split = bool(placed.where("chunks > 1").limit(1).head(1))
     if split:
         large = placed.where("chunks > 1")
+        hint = _hint(large)
         lead = large.groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id"), F.col("chunks") * 1024) == 0, F.col("id")))), 1, 8).alias("lead"))
         lead = lead.join(large.groupBy("root").agg(F.min("id").alias("least")), "root").select("root", F.array_distinct(F.concat(F.array("least"), "lead")).alias("lead"))
+        lead = hint(materialize(lead, "lead"))
         each = large.select("root", "chunk").distinct().join(lead, "root").select("chunk", F.explode("lead").alias("rid"))
         star = large.join(lead, "root").select(F.col("id").alias("a"), F.explode("lead").alias("b"), "chunk").where("a <> b")
         want = want.unionAll(each.select("rid", "chunk")).distinct()
