@@ -39,6 +39,11 @@ def transpose(wide: DataFrame, n: int) -> DataFrame:
     return to_long(wide).where(F.col("row_id") < n).groupBy("dim").pivot("row_id", list(range(n))).agg(F.first("v")).select("dim", *[F.col(str(i)).alias(f"r{i}") for i in range(n)])
 
 
+def transpose_long(long: DataFrame) -> DataFrame:
+    """Rows as columns and columns as rows, of any size: cells change numbers."""
+    return long.select(F.col("dim").cast("long").alias("row_id"), F.col("row_id").alias("dim"), "v")
+
+
 def take(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("row_id") < n)
 

@@ -3,14 +3,17 @@ deviation, and their matrices, as window expressions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, draw_np
 from ..functions.kernels import REF_KEY, slice_size
 from ..functions.special import chi_squared_cdf, half_gaussian_cdf, ks_pvalue
 from ..plans.running import running_by
+from ..plans.tables import materialize
 from . import ranks
 
 # A selection is (it, row_id, inside) with any number of key columns; keys name
@@ -80,19 +83,19 @@ def restrictions(corrected: DataFrame, m: int, beta: float, seed: int) -> DataFr
     test looks at: about beta of them, cut at tie boundaries, with two values at
     least where the column has two."""
     keys = ("dim", "it")
+    bounds = materialize(ranks.boundaries(corrected), "boundaries")
     dims = ranks.with_iterations(corrected.select("dim", "n").distinct(), m)
     free = F.floor(F.col("n") * (1 - beta))
     start = dims.withColumn("cut", F.when(free > 0, draw(seed + 2, "it", REF_KEY) % F.greatest(free, F.lit(1))).otherwise(0).cast("long"))
-    a = ranks.safe_cuts(corrected, start.select(*keys, "n", "cut")).select(*keys, "n", F.col("safe").alias("a"))
+    a = ranks.safe_cuts(bounds, start.select(*keys, "n", "cut")).select(*keys, "n", F.col("safe").alias("a"))
     to = a.withColumn("cut", F.least(F.col("a") + F.floor(F.col("n") * beta), F.col("n") - 1).cast("long"))
-    ab = ranks.safe_cuts(corrected, to.select(*keys, "n", "a", "cut")).select(*keys, "n", "a", F.col("safe").alias("b"))
-    bounds = ranks.boundaries(corrected).groupBy("dim").agg(F.array_sort(F.collect_set("b")).alias("bounds"))
-    ab = ab.join(F.broadcast(bounds), "dim")  # the distinct values of each column
-    one = F.size(F.filter("bounds", lambda x: (x > F.col("a")) & (x < F.col("b")))) == 0
-    before = F.array_max(F.filter("bounds", lambda x: x < F.col("a")))
-    after = F.array_min(F.filter("bounds", lambda x: x > F.col("b")))
-    left = F.when(one & (F.col("a") > 0), before).otherwise(F.col("a"))
-    right = F.when(one & (F.col("a") == 0) & (F.col("b") < F.col("n")), after).otherwise(F.col("b"))
+    ab = ranks.safe_cuts(bounds, to.select(*keys, "n", "a", "cut")).select(*keys, "n", "a", F.col("safe").alias("b"))
+    # all values between a and b are one where the next boundary after a is b
+    ab = ranks.around(bounds, ab, cut="a").withColumnsRenamed({"below": "before", "above": "next"}).drop("upto")
+    ab = ranks.around(bounds, ab, cut="b").withColumnRenamed("above", "after")
+    one = F.coalesce(F.col("next") >= F.col("b"), F.lit(True))
+    left = F.when(one & (F.col("a") > 0), F.col("before")).otherwise(F.col("a"))
+    right = F.when(one & (F.col("a") == 0) & (F.col("b") < F.col("n")), F.col("after")).otherwise(F.col("b"))
     return ab.select(*keys, left.alias("a"), right.alias("b"))
 
 
@@ -108,12 +111,12 @@ def mwp_test(tested: DataFrame, keys: list[str]) -> DataFrame:
         F.max("a").alias("a"),
         F.max("b").alias("b"),
         F.max(F.when(F.col("rk") == F.col("b") - 1, F.col("correction"))).alias("hi"),
-        F.coalesce(F.max(F.when(own == 0, F.col("correction"))), F.lit(0)).alias("lo"),
+        F.coalesce(F.max(F.when(own == 0, F.col("correction"))), F.lit(0.0)).alias("lo"),
     )
     size = F.col("b") - F.col("a")
     n1, n2 = F.col("n1"), size - F.col("n1")
     u = F.col("r2") / 2 - F.col("a") * n1 - F.floor(n1 * (n1 - 1) / 2)
-    fix = (F.col("hi") - F.col("lo")) / F.nullif(size * (size - 1), F.lit(0)).cast("double")
+    fix = (F.col("hi") - F.col("lo")) / F.nullif(size.cast("double") * (size - 1), F.lit(0.0))
     spread = n1 * n2 / 12.0 * (size + 1 - fix)
     z = F.abs(u - n1 * n2 / 2.0) / F.sqrt(spread)
     return out.select(*keys, F.when((n1 == 0) | (n2 == 0), F.lit(1.0)).when(spread <= 0, F.lit(0.0)).otherwise(half_gaussian_cdf(z)).alias("score"))
@@ -129,16 +132,17 @@ def test_scores(index: DataFrame, selected: DataFrame, test: str, keys: list[str
     if test == "csp":
         return csp_test(tested, keys)
     if test == "mwp":
+        # a row for each column and iteration
         return mwp_test(tested.join(F.broadcast(restrictions(index, m, beta, seed)), ["dim", "it"]), keys)
     raise ValueError(f"no test {test}")
 
 
-def mcdep_scores(index: DataFrame, selected: DataFrame, kinds: dict[int, str], keys: list[str], m: int, beta: float = 0.5, seed: int = 1) -> DataFrame:
+def mcdep_scores(index: DataFrame, selected: DataFrame, kinds: dict[int, str], keys: list[str], m: int, beta: float = 0.5, seed: int = 1, n: int | None = None) -> DataFrame:
     """Each reference column by the test of its kind: n KSP, o MWP, c CSP."""
     out = None
     for kind, test in (("n", "ksp"), ("o", "mwp"), ("c", "csp")):
         if own := [d for d, k in kinds.items() if k == kind]:
-            part = test_scores(index, selected.where(F.col("dim").isin(own)), test, keys, m, beta, seed)
+            part = test_scores(index.where(F.col("dim").isin(own)), selected.where(F.col("dim").isin(own)), test, keys, m, beta, seed, n)
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -172,7 +176,7 @@ def subspace_score(index: DataFrame, n: int, dims: list[int], ref: int | None =
     selected = sliced.withColumn("ref", refs).groupBy("it", "row_id", F.col("ref").alias("dim")).agg(F.bool_and(F.col("inside") | (F.col("dim") == F.col("ref"))).alias("inside"))
     keys = ["dim", "it"]
     if test == "mcdep":
-        scores = mcdep_scores(own, selected, kinds or dict.fromkeys(dims, "n"), keys, m, beta, seed)
+        scores = mcdep_scores(own, selected, kinds or dict.fromkeys(dims, "n"), keys, m, beta, seed, n)
     else:
         scores = test_scores(own, selected, test, keys, m, beta, seed, n)
     return scores.agg(F.avg("score").alias("score"))
@@ -185,6 +189,7 @@ def random_alpha(seed: int, it: str = "it") -> Column:
 
 def subspace_score_alpha(index: DataFrame, n: int, dims: list[int], ref: int | None = None, test: str = "ksp", m: int = 50, seed: int = 1) -> DataFrame:
     """Contrast or deviation with a slice size drawn for each iteration."""
+    check(m, 0.5, 0.5)
     dims = sorted(dims)
     own = index.where(F.col("dim").isin(dims))
     r = ranks.with_iterations(own, m).withColumn("size", F.ceil(F.pow(random_alpha(seed), F.lit(1.0 / (len(dims) - 1))) * n).cast("long"))
@@ -195,29 +200,91 @@ def subspace_score_alpha(index: DataFrame, n: int, dims: list[int], ref: int | N
     return test_scores(own, selected, test, ["dim", "it"], m, seed=seed, n=n).agg(F.avg("score").alias("score"))
 
 
+CHUNK = 8192  # ranks that are walked at once
+
+
+def _walk_chunk(n: int, size: int, starts: np.ndarray, firsts: np.ndarray | None, last: dict[int, list[int]], frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one reference column in a range of its ranks, with their ranks in
+    all columns: for each other column and iteration how many are inside, and the
+    least and greatest of (rows inside so far * n - rows so far * all inside)."""
+    ref, chunk = int(frame["ref"].iloc[0]), int(frame["chunk"].iloc[0])
+    frame = frame.sort_values("rk")
+    ranks_ = np.array(frame["ranks"].tolist(), np.int64)
+    step = np.arange(1, len(ranks_) + 1)[:, None]
+    out = []
+    others = np.arange(ranks_.shape[1])
+    for it, start in enumerate(starts):
+        use = others[others != ref]
+        if firsts is not None:  # the smaller column of a pair, or the larger one
+            use = use[(ref < use) == firsts[it]]
+        own = ranks_[:, use]
+        inside = np.cumsum((own >= start[use]) & (own < start[use] + size), axis=0)
+        end = np.array(last[ref])[use]
+        m = size - ((end >= start[use]) & (end < start[use] + size))
+        walk = inside * (n - 1) - step * m
+        out.append(pd.DataFrame({"ref": ref, "other": use, "it": it, "chunk": chunk, "m": m, "c": inside[-1], "lo": walk.min(axis=0), "hi": walk.max(axis=0)}))
+    return pd.concat(out)
+
+
+def _pair_scores(index: DataFrame, n: int, test: str, m: int, size: int, seed: int, refs: list[int] | None = None, contrast: bool = False) -> DataFrame:
+    """(ref, other, it, score) of a Kolmogorov-Smirnov test for all ordered pairs
+    of columns. A slice is a range of ranks, so a row's ranks in all columns tell
+    where it is inside: each row goes once to each reference column, to the range
+    its rank is in there, and neither pairs nor iterations are shuffled."""
+    wide = index.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("dim", "rk"))).alias("own"))
+    wide = materialize(wide.select(F.transform("own", lambda x: x["rk"].cast("long")).alias("ranks")), "ranks")
+    # what the last row of each column says: a square of the columns
+    ends = wide.where(F.exists("ranks", lambda x: x == n - 1)).select("ranks").collect()
+    d = len(ends[0].ranks) if ends else 0
+    last = {j: list(r.ranks) for r in ends for j in range(d) if r.ranks[j] == n - 1}
+    starts = np.array([[int(draw_np(seed, it, j)) % max(n - size, 1) for j in range(d)] for it in range(m)], np.int64).reshape(m, d)
+    firsts = np.array([int(draw_np(seed, it, REF_KEY)) % 2 == 0 for it in range(m)]) if contrast else None
+    rows = wide.select("ranks", F.posexplode("ranks").alias("ref", "rk")).where(F.col("rk") < n - 1)
+    if refs is not None:
+        rows = rows.where(F.col("ref").isin(refs))
+    rows = rows.withColumn("chunk", F.floor(F.col("rk") / CHUNK).cast("int"))
+    walked = rows.groupBy("ref", "chunk").applyInPandas(lambda f: _walk_chunk(n, size, starts, firsts, last, f), "ref int, other int, it int, chunk int, m long, c long, lo double, hi double")
+    before = F.coalesce(F.sum("c").over(W.partitionBy("ref", "other", "it").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = before.cast("double") * (n - 1) - F.col("chunk").cast("double") * CHUNK * F.col("m")
+    walked = walked.withColumn("top", F.greatest(F.abs(F.col("lo") + shift), F.abs(F.col("hi") + shift)))
+    out = walked.groupBy("ref", "other", "it").agg(F.max("top").alias("top"), F.max("m").alias("m"))
+    inner, rest = F.col("m"), F.lit(n - 1) - F.col("m")
+    if test == "ks":
+        score = F.when(inner == 0, F.lit(1.0)).otherwise(F.col("top") / F.when(inner == 0, 1).otherwise(inner * (n - 1)))
+    else:
+        empty = (inner == 0) | (rest == 0)
+        safe = F.when(empty, F.lit(1)).otherwise(rest)
+        score = F.when(empty, F.lit(1.0)).otherwise(ks_pvalue(F.col("top") / F.when(empty, F.lit(1)).otherwise(inner * rest), inner, safe))
+    return out.select("ref", "other", "it", score.alias("score"))
+
+
 def deviation_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, alpha: float = 0.5, beta: float = 0.5, seed: int = 1, refs: list[int] | None = None) -> DataFrame:
     """(ref, other, score) for all ordered pairs of columns, or for the rows
     `refs`: those columns alone are then walked."""
     check(m, alpha, beta)
-    sliced = ranks.numeric_slice(index, slice_size(n, alpha, 2), m, seed).select(F.col("dim").alias("other"), "row_id", "it", "inside")
-    rows = index if refs is None else index.where(F.col("dim").isin(refs))
+    size = slice_size(n, alpha, 2)
     if test in ("ks", "ksp"):
-        tested = rows.select("dim", "row_id", "rk", "n").join(sliced, "row_id").where("dim <> other")
-        scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"], n)
+        scores = _pair_scores(index, n, test, m, size, seed, refs)
     else:
+        sliced = ranks.numeric_slice(index, size, m, seed).select(F.col("dim").alias("other"), "row_id", "it", "inside")
+        rows = index if refs is None else index.where(F.col("dim").isin(refs))
         selected = rows.select("dim", "row_id").join(sliced, "row_id").where("dim <> other")
-        scores = test_scores(rows, selected, test, ["dim", "other", "it"], m, beta, seed)
-    return scores.groupBy(F.col("dim").alias("ref"), "other").agg(F.avg("score").alias("score"))
+        scores = test_scores(rows, selected, test, ["dim", "other", "it"], m, beta, seed, n).withColumnRenamed("dim", "ref")
+    return scores.groupBy("ref", "other").agg(F.avg("score").alias("score"))
 
 
-def contrast_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, alpha: float = 0.5, seed: int = 1) -> DataFrame:
+def contrast_matrix(index: DataFrame, n: int, test: str = "ksp", m: int = 50, alpha: float = 0.5, seed: int = 1, beta: float = 0.5) -> DataFrame:
     """(x, y, score), y < x: in each iteration one of the two is the reference."""
-    check(m, alpha, 0.5)
-    sliced = ranks.numeric_slice(index, slice_size(n, alpha, 2), m, seed).select(F.col("dim").alias("other"), "row_id", "it", "inside")
-    first = draw(seed, "it", REF_KEY) % 2 == 0  # the smaller column of a pair
-    tested = index.select("dim", "row_id", "rk", "n").join(sliced, "row_id").where((F.col("dim") != F.col("other")) & (first == (F.col("dim") < F.col("other"))))
-    scores = (ks_test if test == "ks" else ksp_test)(tested, ["dim", "other", "it"], n)
-    return scores.groupBy(F.greatest("dim", "other").alias("x"), F.least("dim", "other").alias("y")).agg(F.avg("score").alias("score"))
+    check(m, alpha, beta)
+    size = slice_size(n, alpha, 2)
+    if test in ("ks", "ksp"):
+        scores = _pair_scores(index, n, test, m, size, seed, contrast=True)
+    else:
+        sliced = ranks.numeric_slice(index, size, m, seed).select(F.col("dim").alias("other"), "row_id", "it", "inside")
+        first = draw(seed, "it", REF_KEY) % 2 == 0  # the smaller column of a pair
+        selected = index.select("dim", "row_id").join(sliced, "row_id").where((F.col("dim") != F.col("other")) & (first == (F.col("dim") < F.col("other"))))
+        scores = test_scores(index, selected, test, ["dim", "other", "it"], m, beta, seed, n).withColumnRenamed("dim", "ref")
+    return scores.groupBy(F.greatest("ref", "other").alias("x"), F.least("ref", "other").alias("y")).agg(F.avg("score").alias("score"))
 
 
 ESTIMATORS = ("mcdep", "csp", "ksp", "mwp")

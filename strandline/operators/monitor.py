@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..functions.special import KL_EDGE, KL_HALVINGS
 from .dataset import dims_of, row_count, windows_of
 
 
@@ -97,32 +98,31 @@ def naive_scaling_2(mean_reward: Column, k: Column, delta: float, lo: int, hi: i
 
 
 def kl_upper_column(p: Column, n: Column, bonus: Column) -> Column:
-    """The KL upper confidence index: 20 Newton steps, as functions.special has
-    them, over columns."""
-    tiny = 1e-8
-    q0 = F.greatest(p, F.lit(tiny))
+    """The KL upper confidence index by halving, as functions.special has it, over
+    columns."""
+    p0 = F.greatest(p, F.lit(KL_EDGE))
 
     def step(s: Column, _: Column) -> Column:
-        q, p = s["q"], s["p"]
-        f = bonus - (p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q)))
-        slope = -(q - p) / (q * (1 - q))
-        nxt = F.least(F.lit(1 - tiny), F.greatest(q - f / slope, p + tiny))
-        stop = s["done"] | (f * f < 1e-12)
-        return F.struct(p.alias("p"), F.when(stop, q).otherwise(nxt).alias("q"), stop.alias("done"))
-
-    start = F.struct(q0.alias("p"), (q0 + tiny).alias("q"), F.lit(False).alias("done"))
-    value = F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, step, lambda s: s["q"])
-    return F.when((q0 >= 1) | (n <= 0), F.lit(1.0)).otherwise(value)
-
-
-def kl_scaling(arms: DataFrame, t: int, eta_reached: Column, k: Column, delta: float, lo: int, hi: int, plus: bool = False) -> DataFrame:
-    """arms (round, arm, sum, cnt, k, eff): by rounds the next number of arms. A
-    round whose efficiency is no more than delta plays one fewer; otherwise one
-    more, if with the (k + 1)-th largest index it would stay above delta."""
-    spread = F.log(F.greatest(F.lit(float(t)) / F.col("cnt"), F.lit(1.0))) if plus else F.log(F.lit(float(t)))
+        q = (s["near"] + s["far"]) / 2
+        fits = p0 * F.log(p0 / q) + (1 - p0) * F.log((1 - p0) / (1 - q)) <= bonus
+        return F.struct(F.when(fits, q).otherwise(s["near"]).alias("near"), F.when(fits, s["far"]).otherwise(q).alias("far"))
+
+    start = F.struct(p0.alias("near"), F.lit(1 - KL_EDGE).alias("far"))
+    value = F.aggregate(F.sequence(F.lit(1), F.lit(KL_HALVINGS)), start, step, lambda s: s["near"])
+    return F.when((p0 >= 1) | (n <= 0), F.lit(1.0)).otherwise(value)
+
+
+def kl_scaling(arms: DataFrame, delta: float, lo: int, hi: int, plus: bool = False) -> DataFrame:
+    """arms (round, arm, t, sum, cnt, played): by rounds the next number of arms.
+    The efficiency is the mean of what the arms played have gained so far for
+    each play. A round in which it is no more than delta plays one arm fewer;
+    otherwise one more, if with the next largest index it would stay above."""
+    spread = F.log(F.greatest(F.col("t") / F.col("cnt"), F.lit(1.0))) if plus else F.log(F.greatest("t", F.lit(1.0)))
     index = kl_upper_column(F.col("sum") / F.col("cnt"), F.col("cnt"), spread / F.col("cnt"))
-    per = arms.groupBy("round").agg(F.sort_array(F.collect_list(index), asc=False).alias("b"), F.max(k).alias("k"), F.max(eta_reached).alias("eff"))
-    b = F.coalesce(F.get("b", F.col("k").cast("int")), F.lit(0.0))
-    grow = F.col("k") / (F.col("k") + 1) * F.col("eff") + b / (F.col("k") + 1) > delta
-    nxt = F.when(F.col("eff") <= delta, F.greatest(F.lit(lo), F.col("k") - 1)).when(grow, F.least(F.lit(hi), F.col("k") + 1)).otherwise(F.col("k"))
-    return per.select("round", nxt.cast("int").alias("next_k"))
+    played = F.col("played")
+    per = arms.groupBy("round").agg(F.sort_array(F.collect_list(index), asc=False).alias("b"), F.sum(played.cast("int")).alias("k"), F.avg(F.when(played, F.col("sum") / F.col("cnt"))).alias("eff"))
+    k, eff = F.col("k"), F.col("eff")
+    b = F.coalesce(F.get("b", k.cast("int")), F.lit(0.0))
+    grow = k / (k + 1) * eff + b / (k + 1) > delta
+    nxt = F.when(eff <= delta, F.greatest(F.least(F.lit(lo), k), k - 1)).when((k < hi) & grow, k + 1).otherwise(k)
+    return per.select("round", "k", nxt.cast("int").alias("next_k"))

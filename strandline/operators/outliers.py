@@ -128,52 +128,71 @@ def full_space_lof(wide: DataFrame, k: int = 10) -> DataFrame:
 # -- grid sketches ------------------------------------------------------------------------
 
 
-def _unit(seed: Column | int, it: Column | str, key: Column | str) -> Column:
-    return draw(seed, it, key) / F.lit(float(MODULUS))
+SAMPLE = 1000  # rows that a sketch counts
+
+
+def _samples(ids: DataFrame, n: int, reps: int, seed: int) -> DataFrame:
+    """(rep, row_id): SAMPLE rows of their own for each repetition. Rows whose
+    draw is small are looked at first; should they be too few, all are."""
+    each = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("u", draw(seed, "rep", "row_id"))
+    for share in (4 * SAMPLE / n, 1.0):
+        near = materialize(each.where(F.col("u") < int(min(1.0, share) * MODULUS)), "sample")
+        if near.groupBy("rep").count().where(F.col("count") >= SAMPLE).count() == reps:
+            break
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("u", "row_id"))
+    return materialize(near.withColumn("k", first).where(F.col("k") <= SAMPLE).select("rep", "row_id"), "sample")
 
 
 def rs_hash(wide: DataFrame, reps: int = 1, seed: int = 1, ensemble: bool = True) -> DataFrame:
     """(row_id, score): in each repetition rows fall into the cells of a random
-    grid over random columns; four hashes of the cell count rows, and the score
-    is minus the binary logarithm of the least count, on average.
+    grid over random columns; four hashes of the cell count the rows of a sample
+    of up to SAMPLE, and the score is minus the binary logarithm of a row's least
+    count, on average over repetitions. A row outside the sample counts itself.
 
-    Counts are aggregates by (repetition, hash, counter): CELLS counters for each,
-    however many rows there are. Bounds of the columns come from a seeded sample
-    of 1000 rows at most; constant columns are left out."""
+    Bounds of the columns are those of the repetition's sample; columns that are
+    constant there are left out. Counts are at most SAMPLE for each hash and
+    repetition and are broadcast; only hashes of a row meet by its number."""
     cols = dims_of(wide)
-    n, d = row_count(wide), len(cols)
-    s = min(1000, n)
+    n, s = row_count(wide), min(SAMPLE, row_count(wide))
     if n < 5:
         raise ValueError("five rows at least")
-    sample = wide.orderBy(draw(seed, 0, "row_id"), "row_id").limit(s)
-    bounds = sample.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(cols) for f in (F.min, F.max)]).head()
-    live = [i for i in range(d) if bounds[f"max{i}"] > bounds[f"min{i}"]]
-    plan = grid_plan(live, s, reps, seed, ensemble)
-    # the plan holds a few numbers for each repetition: it goes into the query
-    grid = {i: (float(bounds[f"min{i}"]), float(bounds[f"max{i}"])) for i in live}
-    cells = wide.select("row_id", F.inline(F.array(*[F.struct(F.lit(i).alias("dim"), ((F.col(cols[i]) - grid[i][0]) / (grid[i][1] - grid[i][0])).alias("u")) for i in live])))
-    table = wide.sparkSession.createDataFrame(plan, "rep int, dim int, f double, shift double")
-    at = cells.join(F.broadcast(table), "dim").withColumn("cell", F.floor((F.col("u") + F.col("shift")) / F.col("f")).cast("long"))
-    hashes = [(F.sum(draw(seed + 11 + j, "dim", "cell + 1000000")) % CELLS).alias(f"h{j}") for j in range(HASHES)]
-    keyed = at.groupBy("rep", "row_id").agg(*hashes)
-    each = keyed.select("rep", "row_id", F.posexplode(F.array(*[F.col(f"h{j}") for j in range(HASHES)])).alias("j", "h"))
-    counts = each.groupBy("rep", "j", "h").agg(F.count("*").alias("c"))
-    out = each.join(counts, ["rep", "j", "h"]).groupBy("rep", "row_id").agg(F.min("c").alias("c"))
-    return out.groupBy("row_id").agg(F.avg(-F.log2("c")).alias("score"))
-
-
-def grid_plan(live: list[int], s: int, reps: int, seed: int, ensemble: bool) -> list[tuple[int, int, float, float]]:
-    """(rep, column, cell width, shift): widths between 1/sqrt(s) and one minus
-    that; an ensemble's repetition uses r random columns."""
+    cells = wide.select("row_id", F.inline(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])))
+    everyone = n <= SAMPLE
+    sampled = wide.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")) if everyone else _samples(wide.select("row_id"), n, reps, seed)
+    seen = cells.join(F.broadcast(sampled), "row_id")
+    bounds = seen.groupBy("rep", "dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").collect()
+    live: dict[int, dict[int, tuple[float, float]]] = {r: {} for r in range(reps)}
+    for b in bounds:
+        live[b.rep][b.dim] = b.lo, b.hi
+    plan = [(rep, i, f, shift, live[rep][i][0], live[rep][i][1] - live[rep][i][0]) for rep, i, f, shift in grid_plan([sorted(live[r]) for r in range(reps)], s, seed, ensemble)]
+    table = F.broadcast(wide.sparkSession.createDataFrame(plan, "rep int, dim int, f double, shift double, lo double, width double"))
+
+    def hashed(rows: DataFrame, on: list[str]) -> DataFrame:
+        at = rows.join(table, on).withColumn("cell", F.floor(((F.col("v") - F.col("lo")) / F.col("width") + F.col("shift")) / F.col("f")).cast("long"))
+        sums = [(F.sum(draw(seed + 11 + j, "dim", "cell + 1000000")) % CELLS).alias(f"h{j}") for j in range(HASHES)]
+        keyed = at.groupBy("rep", "row_id").agg(*sums)
+        return keyed.select("rep", "row_id", F.posexplode(F.array(*[F.col(f"h{j}") for j in range(HASHES)])).alias("j", "h"))
+
+    counts = materialize(hashed(seen, ["rep", "dim"]).groupBy("rep", "j", "h").agg(F.count("*").alias("c")), "counts")
+    least = hashed(cells, ["dim"]).join(F.broadcast(counts), ["rep", "j", "h"], "left").groupBy("rep", "row_id").agg(F.min(F.coalesce("c", F.lit(0))).alias("c"))
+    if not everyone:
+        least = least.join(F.broadcast(sampled.withColumn("counted", F.lit(0))), ["rep", "row_id"], "left").withColumn("c", F.col("c") + F.coalesce("counted", F.lit(1)))
+    return least.groupBy("row_id").agg(F.avg(-F.log2("c")).alias("score"))
+
+
+def grid_plan(live: list[list[int]], s: int, seed: int, ensemble: bool) -> list[tuple[int, int, float, float]]:
+    """(rep, column, cell width, shift) from the columns of each repetition that
+    aren't constant: widths between 1/sqrt(s) and one minus that; an ensemble's
+    repetition uses r random columns."""
     out = []
-    for rep in range(reps):
+    for rep, columns in enumerate(live):
         lo = 1 / math.sqrt(s)
         f = lo + float(draw_np(seed + 5, rep, 0)) / MODULUS * (1 - 2 * lo)
-        own = list(live)
+        own = list(columns)
         if ensemble:
             top = math.log(s) / math.log(max(2, 1 / f))
             r = round(1 + top / 2 + float(draw_np(seed + 6, rep, 0)) / MODULUS * (top - 1 - top / 2))
-            own = sorted(live, key=lambda i: (int(draw_np(seed + 7, rep, i)), i))[: max(1, min(r, len(live)))]
+            own = sorted(own, key=lambda i: (int(draw_np(seed + 7, rep, i)), i))[: max(1, min(r, len(own)))]
         out += [(rep, i, f, float(draw_np(seed + 8, rep, i)) / MODULUS * f) for i in sorted(own)]
     return out
 
@@ -181,17 +200,22 @@ def grid_plan(live: list[int], s: int, reps: int, seed: int, ensemble: bool) ->
 def rs_hash_np(x: np.ndarray, seed: int = 1) -> np.ndarray:
     """One sketch over all columns of a window, in numpy."""
     n = len(x)
-    lo, hi = x.min(axis=0), x.max(axis=0)
+    s = min(SAMPLE, n)
+    if n < 5:
+        return np.zeros(n)
+    sampled = np.zeros(n, bool)
+    sampled[np.lexsort((np.arange(n), draw_np(seed, 0, np.arange(n))))[:s]] = True
+    lo, hi = x[sampled].min(axis=0), x[sampled].max(axis=0)
     live = np.flatnonzero(hi > lo)
-    if n < 5 or not len(live):
+    if not len(live):
         return np.zeros(n)
     total = np.zeros((HASHES, n), np.int64)
-    for _, i, f, shift in grid_plan(live.tolist(), min(1000, n), 1, seed, False):
+    for _, i, f, shift in grid_plan([live.tolist()], s, seed, False):
         cell = np.floor(((x[:, i] - lo[i]) / (hi[i] - lo[i]) + shift) / f).astype(np.int64)
         for j in range(HASHES):
             total[j] += draw_np(seed + 11 + j, i, cell + 1_000_000)
-    least = np.min([np.unique(t % CELLS, return_inverse=True, return_counts=True)[2][np.unique(t % CELLS, return_inverse=True)[1]] for t in total], axis=0)
-    return -np.log2(least)
+    least = np.min([np.bincount(t[sampled], minlength=CELLS)[t] for t in total % CELLS], axis=0)
+    return -np.log2(least + ~sampled)
 
 
 # -- ensembles --------------------------------------------------------------------------------

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import MODULUS, draw
 from ..plans.running import running_by
+from ..plans.tables import materialize
+
+
+BINS = 4096  # ranges of draws that are counted
 
 
 def rank_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
@@ -21,19 +25,25 @@ def rank_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
     return long.withColumn("rk", F.row_number().over(w.orderBy("v", "row_id")) - 1).withColumn("n", F.count("*").over(w))
 
 
+def _cubed(t: Column) -> Column:
+    """t^3 - t, as a double: a whole number would overflow from two million ties on."""
+    d = t.cast("double")
+    return d * d * d - d
+
+
 def corrected_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
     """Adds rk, n, adj (rank averaged over ties, from 0), ties (rows of the same
     value) and correction (the sum of t^3 - t over tie groups up to its own)."""
     if keys == ("dim",):
         t = F.col("ties")
-        values = running_by(long.groupBy("dim", "v").agg(F.count("*").alias("ties")), ["dim"], [F.col("v")], {"upto": t, "correction": t * t * t - t})
+        values = running_by(long.groupBy("dim", "v").agg(F.count("*").alias("ties")), ["dim"], [F.col("v")], {"upto": t, "correction": _cubed(t)})
         values = values.select("dim", "v", "ties", (F.col("upto") - t + (t - 1) / 2).alias("adj"), "correction")
         return rank_index(long, keys).join(values, ["dim", "v"])
     w, same = W.partitionBy(*keys), W.partitionBy(*keys, "v")
     out = rank_index(long, keys).withColumn("ties", F.count("*").over(same))
     out = out.withColumn("adj", F.rank().over(w.orderBy("v")) - 1 + (F.col("ties") - 1) / 2)
     first = F.row_number().over(same.orderBy("row_id")) == 1
-    out = out.withColumn("own", F.when(first, F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).otherwise(0))
+    out = out.withColumn("own", F.when(first, _cubed(F.col("ties"))).otherwise(0.0))
     upto = F.sum("own").over(w.orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow))
     return out.withColumn("correction", upto).drop("own")
 
@@ -44,28 +54,48 @@ def count_index(long: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
 
 
 def boundaries(ranked: DataFrame, keys: tuple[str, ...] = ("dim",)) -> DataFrame:
-    """Ranks at which a new value begins, with 0 and n: places for safe cuts."""
-    inner = ranked.groupBy(*keys, "v").agg(F.min("rk").alias("b")).select(*keys, "b")
+    """Ranks at which a new value begins, with 0 and n: places for safe cuts. A
+    corrected index has them in its rows, without a shuffle."""
+    if "ties" in ranked.columns:
+        inner = ranked.where(F.col("rk") == F.col("adj") - (F.col("ties") - 1) / 2).select(*keys, F.col("rk").alias("b"))
+    else:
+        inner = ranked.groupBy(*keys, "v").agg(F.min("rk").alias("b")).select(*keys, "b")
     return inner.unionByName(ranked.groupBy(*keys).agg(F.max("n").alias("b")))
 
 
-def safe_cuts(ranked: DataFrame, cuts: DataFrame, keys: tuple[str, ...] = ("dim",), cut: str = "cut") -> DataFrame:
-    """Move each cut (0 to n) to the nearest tie boundary, of two as near to the
-    right one. The nearest on either side comes from a running maximum and
-    minimum over cuts and boundaries together: a sort, not a join."""
-    both = boundaries(ranked, keys).select(*keys, F.col("b").alias("at"), F.lit(0).alias("is_cut"))
-    extra = [c for c in cuts.columns if c not in (*keys, cut)]
-    row = F.struct(*[F.col(c) for c in extra]) if extra else F.lit(None)
-    asked = cuts.select(*keys, F.col(cut).alias("at"), F.lit(1).alias("is_cut"), row.alias("row"))
-    all_ = both.withColumn("row", F.lit(None).cast(asked.schema["row"].dataType)).unionByName(asked)
-    w = W.partitionBy(*keys).orderBy("at", "is_cut")
-    left = F.max(F.when(F.col("is_cut") == 0, F.col("at"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    back = W.partitionBy(*keys).orderBy(F.col("at").desc(), "is_cut")
-    right = F.min(F.when(F.col("is_cut") == 0, F.col("at"))).over(back.rowsBetween(W.unboundedPreceding, 0))
-    moved = all_.withColumn("left", left).withColumn("right", right).where("is_cut = 1")
+def around(bounds: DataFrame, cuts: DataFrame, keys: tuple[str, ...] = ("dim",), cut: str = "cut") -> DataFrame:
+    """Adds to each cut the boundaries (keys, b) around it: below, upto (may equal the cut),
+    above (null where there is none). cuts are few, some for each column and
+    iteration, and are broadcast as one sorted array for each column; boundaries
+    are aggregated by the gap between cuts in which they lie, before any shuffle."""
+    cuts = materialize(cuts, "cuts")  # read twice, and often made from other cuts
+    each = cuts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(cut).cast("long"))).alias("cuts"))
+    b = F.col("b")
+    lying = bounds.join(F.broadcast(each), list(keys)).withColumn("gap", F.size(F.filter("cuts", lambda c: c < b)))
+    to = F.get("cuts", F.col("gap"))  # the cut at the gap's upper end
+    gaps = lying.groupBy(*keys, "gap").agg(F.max("b").alias("hi"), F.max(F.when(to.isNull() | (b < to), b)).alias("inner"), F.min("b").alias("lo"))
+    place = each.select(*keys, F.posexplode("cuts").alias("at", "__cut")).join(F.broadcast(gaps), list(keys))
+    before, own = F.col("gap") < F.col("at"), F.col("gap") == F.col("at")
+    found = place.groupBy(*keys, "__cut").agg(
+        F.max(F.when(before, F.col("hi")).when(own, F.col("inner"))).alias("below"),
+        F.max(F.when(before | own, F.col("hi"))).alias("upto"),
+        F.min(F.when(F.col("gap") > F.col("at"), F.col("lo"))).alias("above"),
+    )
+    of = found.select(*[F.col(k).alias(f"__{k}") for k in keys], "__cut", "below", "upto", "above")
+    same = F.col(cut).cast("long") == F.col("__cut")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return cuts.join(F.broadcast(of), same).drop("__cut", *[f"__{k}" for k in keys])
+
+
+def safe_cuts(bounds: DataFrame, cuts: DataFrame, keys: tuple[str, ...] = ("dim",), cut: str = "cut") -> DataFrame:
+    """Move each cut (0 to n) to the nearest tie boundary (keys, b), of two as near
+    to the right one."""
+    at = F.col(cut)
+    right = F.when(F.col("upto") == at, at).otherwise(F.col("above"))
     # a cut behind the last boundary has no right one
-    to = F.when(F.col("right").isNull() | (F.col("at") - F.col("left") < F.col("right") - F.col("at")), F.col("left")).otherwise(F.col("right"))
-    return moved.select(*keys, F.col("at").alias(cut), to.alias("safe"), *[F.col("row")[c].alias(c) for c in extra])
+    to = F.when(right.isNull() | (at - F.col("upto") < right - at), F.col("upto")).otherwise(right)
+    return around(bounds, cuts, keys, cut).withColumn("safe", to).drop("below", "upto", "above")
 
 
 def slice_start(seed: int, it: Column | str, dim: str, n: Column, size: Column) -> Column:
@@ -86,19 +116,32 @@ def numeric_slice(ranked: DataFrame, size: int, m: int, seed: int = 1) -> DataFr
 
 def _sized(rows: DataFrame, core: Column, size: int, seed: int) -> DataFrame:
     """Exactly `size` rows of each iteration and column: those of the core first,
-    otherwise by chance."""
-    order = W.partitionBy("dim", "it").orderBy(F.when(core, 0).otherwise(1), draw(seed + 1, "it", "row_id"), "row_id")
-    return rows.withColumn("inside", F.row_number().over(order) <= size)
+    otherwise by chance. The last row that still fits is found by counts of draws
+    in BINS ranges and a look at the rows of one range; nothing is sorted whole."""
+    turn = F.struct(F.when(core, 0).otherwise(1).alias("late"), draw(seed + 1, "it", "row_id").alias("u"), F.col("row_id").alias("r"))
+    rows = rows.withColumn("turn", turn)
+    bin_ = F.floor(F.col("turn.u") * BINS / MODULUS).cast("int")
+    per = rows.groupBy("dim", "it", F.col("turn.late").alias("late"), bin_.alias("bin")).agg(F.count("*").alias("n_bin"))
+    upto = F.sum("n_bin").over(W.partitionBy("dim", "it").orderBy("late", "bin"))
+    per = per.withColumn("upto", upto).where(F.col("upto") - F.col("n_bin") < size)
+    edge = per.groupBy("dim", "it").agg(F.max(F.struct("late", "bin", (F.col("upto") - F.col("n_bin")).alias("before"))).alias("e"))
+    edge = edge.select(F.col("dim").alias("__dim"), F.col("it").alias("__it"), "e")  # a row for each column and iteration
+    of = F.col("dim").eqNullSafe(F.col("__dim")) & (F.col("it") == F.col("__it"))
+    at = rows.join(F.broadcast(edge), of & (F.col("turn.late") == F.col("e.late")) & (bin_ == F.col("e.bin")))
+    at = at.withColumn("nth", F.row_number().over(W.partitionBy("dim", "it").orderBy("turn")) + F.col("e.before"))
+    cut = at.where(F.col("nth") <= size).groupBy("dim", "it").agg(F.max("turn").alias("last")).select(F.col("dim").alias("__dim"), F.col("it").alias("__it"), "last")
+    return rows.join(F.broadcast(cut), of, "left").withColumn("inside", F.coalesce(F.col("turn") <= F.col("last"), F.lit(False))).drop("turn", "last", "__dim", "__it")
 
 
 def ordinal_slice(ranked: DataFrame, size: int, m: int, seed: int = 1) -> DataFrame:
     """A run of ranks cut at tie boundaries, then brought to `size` by releasing
     rows of it or adding others at random."""
+    bounds = materialize(boundaries(ranked), "boundaries")
     dims = with_iterations(ranked.select("dim", "n").distinct(), m)
     start = dims.withColumn("cut", slice_start(seed, "it", "dim", F.col("n"), F.lit(size)).cast("long"))
-    a = safe_cuts(ranked, start.select("dim", "it", "n", "cut")).select("dim", "it", "n", F.col("safe").alias("a"))
+    a = safe_cuts(bounds, start.select("dim", "it", "n", "cut")).select("dim", "it", "n", F.col("safe").alias("a"))
     b = a.withColumn("cut", F.least(F.col("a") + size, F.col("n") - 1))
-    b = safe_cuts(ranked, b.select("dim", "it", "a", "cut")).select("dim", "it", "a", F.col("safe").alias("b"))
+    b = safe_cuts(bounds, b.select("dim", "it", "a", "cut")).select("dim", "it", "a", F.col("safe").alias("b"))
     rows = with_iterations(ranked, m).join(F.broadcast(b), ["dim", "it"])  # a row for each column and iteration
     return _sized(rows, (F.col("rk") >= F.col("a")) & (F.col("rk") < F.col("b")), size, seed).drop("a", "b")
 
@@ -129,11 +172,17 @@ def category_restriction(ranked: DataFrame, size: int, m: int, seed: int = 1) ->
 
 
 def uniform_slice(ranked: DataFrame, size: int, m: int, seed: int = 1) -> DataFrame:
-    """A run of ranks that may wrap around, so that every row is as likely."""
+    """A run of ranks that may wrap around, so that every row is as likely. It
+    serves every kind of column: ties and categories stand together by rank."""
     r = with_iterations(ranked, m)
     return r.withColumn("inside", F.pmod(F.col("rk") - draw(seed, "it", "dim") % F.col("n"), F.col("n")) < size)
 
 
+def subspace_uniform_slice(ranked: DataFrame, dims: list[int], ref: int, size: int, m: int, seed: int = 1) -> DataFrame:
+    """(it, row_id, inside): in the uniform slices of all dims but the reference one."""
+    return subspace_slice(uniform_slice(ranked.where(F.col("dim").isin(dims)), size, m, seed), dims, ref)
+
+
 def subspace_slice(sliced: DataFrame, dims: list[int], ref: int) -> DataFrame:
     """(it, row_id, inside): in the slices of all dims but the reference one."""
     others = sliced.where(F.col("dim").isin([d for d in dims if d != ref]))

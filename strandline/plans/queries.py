@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import MODULUS, draw, draw_sql
@@ -13,10 +14,11 @@ from ..functions.kernels import REF_KEY
 from ..operators import dataset, dependence, metrics, monitor, outliers, ranks, report, search
 from ..sources import matrix
 from ..streaming import policies, searcher
+from .tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-D, M, SEED = 8, 20, 1
+D, M, SEED = 64, 20, 1  # elements of a vector, iterations, seed
 SUBSPACE = [0, 1, 2]
 
 
@@ -42,7 +44,7 @@ def wide(spark, sf_dir) -> DataFrame:
 
 
 def full(spark, sf_dir) -> DataFrame:
-    """All elements of the vectors; for queries that have no SQL."""
+    """All elements of the vectors, however many; for queries that have no SQL."""
     e = table(spark, sf_dir, "embeddings")
     return dataset.array_matrix(e, "vec_id", "embedding", e.agg(F.max(F.size("embedding"))).head()[0] or 0)
 
@@ -86,7 +88,7 @@ def gains(spark, sf_dir) -> DataFrame:
     return stream.select("t", "arm", F.round("value", 6).alias("value")).withColumn("reward", monitor.current_score(F.col("value")))
 
 
-E8 = f"""e AS (SELECT vec_id AS row_id, unnest(range(0, {D}))::INT AS dim, unnest(embedding[1:{D}])::DOUBLE AS v FROM embeddings),
+VECTORS = f"""e AS (SELECT vec_id AS row_id, unnest(range(0, {D}))::INT AS dim, unnest(embedding[1:{D}])::DOUBLE AS v FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY v, row_id) - 1 AS rk, count(*) OVER (PARTITION BY dim) AS n FROM e)"""
 MIXED = """c AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)),
 e AS (SELECT event_id AS row_id, 0 AS dim, value::DOUBLE AS v FROM events
@@ -96,7 +98,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY v, row_id) - 1 AS r
 CORRECTED = """k AS (SELECT *, count(*) OVER (PARTITION BY dim, v) AS ties, rank() OVER (PARTITION BY dim ORDER BY v) AS first,
   row_number() OVER (PARTITION BY dim, v ORDER BY row_id) AS nth FROM r),
 q AS (SELECT row_id, dim, v, rk, n, ties, first - 1 + (ties - 1) / 2.0 AS adj,
-  sum(CASE WHEN nth = 1 THEN ties * ties * ties - ties ELSE 0 END) OVER (PARTITION BY dim ORDER BY v)::BIGINT AS correction FROM k)"""
+  sum(CASE WHEN nth = 1 THEN ties::DOUBLE * ties * ties - ties ELSE 0 END) OVER (PARTITION BY dim ORDER BY v) AS correction FROM k)"""
 RANKING = """l AS (SELECT doc_id AS row_id, floor(n_chars / 50)::DOUBLE AS score, 1 - quality AS y FROM documents JOIN labels USING (doc_id)),
 t AS (SELECT count(*) AS n, sum(y) AS p FROM l),
 o AS (SELECT *, row_number() OVER w - 1 AS place, sum(y) OVER w AS tp, sum(1 - y) OVER w AS fp FROM l
@@ -145,12 +147,12 @@ BOUNDS = """bounds AS (SELECT dim, rk AS b FROM (SELECT dim, rk, v, lag(v) OVER
 # -- matrices, samples, logs ------------------------------------------------------------------
 
 
-@query(f"WITH {E8} SELECT row_id, dim, v FROM e")
+@query(f"WITH {VECTORS} SELECT row_id, dim, v FROM e")
 def unpivot_long(spark, sf_dir):
     return long(spark, sf_dir)
 
 
-@query(f"""WITH {E8}, w AS (SELECT row_id, max(CASE WHEN dim = 0 THEN v END) AS x0, max(CASE WHEN dim = {D - 1} THEN v END) AS last FROM e GROUP BY row_id)
+@query(f"""WITH {VECTORS}, w AS (SELECT row_id, max(CASE WHEN dim = 0 THEN v END) AS x0, max(CASE WHEN dim = {D - 1} THEN v END) AS last FROM e GROUP BY row_id)
 SELECT 'take' AS op, row_id, x0 AS v FROM w WHERE row_id < 10 UNION ALL SELECT 'drop', row_id, x0 FROM w WHERE row_id >= (SELECT max(row_id) FROM w) - 5
 UNION ALL SELECT 'head', row_id, x0 FROM w WHERE row_id = (SELECT min(row_id) FROM w) UNION ALL SELECT 'last', row_id, last FROM w""")
 def take_drop_head(spark, sf_dir):
@@ -160,9 +162,9 @@ def take_drop_head(spark, sf_dir):
     return own("take", dataset.take(w, 10)).unionByName(own("drop", dataset.drop(w, n - 5))).unionByName(own("head", dataset.head(w))).unionByName(own("last", dataset.column(w, -1), "v"))
 
 
-@query(f"WITH {E8} SELECT dim, max(CASE WHEN row_id = 0 THEN v END) AS r0, max(CASE WHEN row_id = 1 THEN v END) AS r1, max(CASE WHEN row_id = 2 THEN v END) AS r2 FROM e GROUP BY dim")
+@query(f"WITH {VECTORS} SELECT dim::BIGINT AS row_id, row_id AS dim, v FROM e")
 def transpose_rows(spark, sf_dir):
-    return dataset.transpose(wide(spark, sf_dir), 3)
+    return dataset.transpose_long(long(spark, sf_dir))
 
 
 @query(f"SELECT o_orderkey AS row_id FROM orders ORDER BY {draw_sql(SEED, 0, 'o_orderkey')}, o_orderkey LIMIT 1000")
@@ -182,7 +184,7 @@ def column_kinds(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(dataset.kinds_of(w))), "dim int, kind string")
 
 
-@query(f"""WITH {E8}, x AS (SELECT row_id AS step, dim, round(v, 4) AS score, round(v, 4) = 0 AS nought FROM e)
+@query(f"""WITH {VECTORS}, x AS (SELECT row_id AS step, dim, round(v, 4) AS score, round(v, 4) = 0 AS nought FROM e)
 SELECT step, dim AS place, [dim, dim + 1] AS dims, CASE WHEN nought THEN 0.0 ELSE score END AS score FROM x""")
 def subspace_log_roundtrip(spark, sf_dir):
     """Written as lines and read again: scores to four digits."""
@@ -196,7 +198,7 @@ def subspace_log_roundtrip(spark, sf_dir):
 # -- ranks and slices -------------------------------------------------------------------------------
 
 
-@query(f"WITH {E8} SELECT row_id, dim, v, rk, n FROM r")
+@query(f"WITH {VECTORS} SELECT row_id, dim, v, rk, n FROM r")
 def rank_index(spark, sf_dir):
     return ranks.rank_index(long(spark, sf_dir))
 
@@ -220,7 +222,7 @@ def rank_index_sliding(spark, sf_dir):
     return ranks.rank_index(rows, ("window",)).select("window", "row_id", "v", "rk", "n")
 
 
-@query(f"""WITH {E8}, {its(M)} SELECT dim, it, row_id FROM r, it WHERE rk >= {start_sql('100')} AND rk < {start_sql('100')} + 100""")
+@query(f"""WITH {VECTORS}, {its(M)} SELECT dim, it, row_id FROM r, it WHERE rk >= {start_sql('100')} AND rk < {start_sql('100')} + 100""")
 def slice_numeric(spark, sf_dir):
     return ranks.numeric_slice(ranks.rank_index(long(spark, sf_dir)), 100, M, SEED).where("inside").select("dim", "it", "row_id")
 
@@ -256,12 +258,12 @@ def category_restriction(spark, sf_dir):
     return ranks.category_restriction(ranks.rank_index(mixed(spark, sf_dir).where("dim = 2")), SLICED, 5, SEED)
 
 
-@query(f"""WITH {E8}, {its(M)} SELECT dim, it, row_id FROM r, it WHERE ((rk - {draw_sql(SEED, 'it', 'dim')} % n) % n + n) % n < 100""")
+@query(f"""WITH {VECTORS}, {its(M)} SELECT dim, it, row_id FROM r, it WHERE ((rk - {draw_sql(SEED, 'it', 'dim')} % n) % n + n) % n < 100""")
 def slice_uniform(spark, sf_dir):
     return ranks.uniform_slice(ranks.rank_index(long(spark, sf_dir)), 100, M, SEED).where("inside").select("dim", "it", "row_id")
 
 
-@query(f"""WITH {E8}, {its(M)}, x AS (SELECT dim, it, row_id, rk >= {start_sql('200')} AND rk < {start_sql('200')} + 200 AS inside FROM r, it)
+@query(f"""WITH {VECTORS}, {its(M)}, x AS (SELECT dim, it, row_id, rk >= {start_sql('200')} AND rk < {start_sql('200')} + 200 AS inside FROM r, it)
 SELECT it, row_id, bool_and(inside) AS inside FROM x WHERE dim IN (1, 2) GROUP BY it, row_id""")
 def subspace_slice(spark, sf_dir):
     return ranks.subspace_slice(ranks.numeric_slice(ranks.rank_index(long(spark, sf_dir)), 200, M, SEED), SUBSPACE, 0)
@@ -272,7 +274,7 @@ SELECT dim, it, cut, safe FROM c1""")
 def safe_cut(spark, sf_dir):
     r = ranks.rank_index(mixed(spark, sf_dir))
     cuts = ranks.with_iterations(r.select("dim", "n").distinct(), 50).select("dim", "it", (draw(SEED, "it", "dim") % (F.col("n") + 1)).cast("long").alias("cut"))
-    return ranks.safe_cuts(r, cuts).select("dim", "it", "cut", "safe")
+    return ranks.safe_cuts(ranks.boundaries(r), cuts).select("dim", "it", "cut", "safe")
 
 
 @query("""WITH p AS (SELECT DISTINCT p_partkey % 97 + 1 AS a, p_size AS b FROM part), c AS (SELECT a, b, unnest(range(-64, 65)) AS d FROM p)
@@ -293,13 +295,18 @@ PAIRS = f"""sl AS (SELECT dim AS other, it, row_id, rk >= {start_sql(half())} AN
 
 
 def _index(spark, sf_dir):
-    """A corrected index and the number of rows."""
+    """A corrected index, written once, and the number of rows."""
     rows = long(spark, sf_dir)
-    return ranks.corrected_index(rows), table(spark, sf_dir, "embeddings").count()
+    return materialize(ranks.corrected_index(rows), "index"), table(spark, sf_dir, "embeddings").count()
+
+
+def _ranked(spark, sf_dir):
+    """A rank index, written once, and the number of rows."""
+    return materialize(ranks.rank_index(long(spark, sf_dir)), "index"), table(spark, sf_dir, "embeddings").count()
 
 
 def _pair_matrix(test: str, where: str = "TRUE") -> str:
-    return f"""WITH {E8}, {its(M)}, {PAIRS.format(its='it')},
+    return f"""WITH {VECTORS}, {its(M)}, {PAIRS.format(its='it')},
 tested AS (SELECT r.dim, sl.other, sl.it, r.rk, r.n, sl.inside FROM r JOIN sl USING (row_id) WHERE r.dim <> sl.other AND {where}),
 {ks_sql('tested', 'dim, other, it', test == 'ksp')} SELECT dim AS ref, other, round(avg(score), 6) AS score FROM scores GROUP BY dim, other"""
 
@@ -310,33 +317,33 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_pair_matrix("ks"))
 def ks_deviation_matrix(spark, sf_dir):
-    index, n = _index(spark, sf_dir)
+    index, n = _ranked(spark, sf_dir)
     return _rounded(dependence.deviation_matrix(index, n, "ks", M, seed=SEED))
 
 
 @query(_pair_matrix("ksp"))
 def deviation_matrix(spark, sf_dir):
-    index, n = _index(spark, sf_dir)
+    index, n = _ranked(spark, sf_dir)
     return _rounded(dependence.deviation_matrix(index, n, "ksp", M, seed=SEED))
 
 
 @query(_pair_matrix("ksp", "r.dim IN (0, 3)"))
 def deviation_matrix_partial(spark, sf_dir):
-    index, n = _index(spark, sf_dir)
+    index, n = _ranked(spark, sf_dir)
     return _rounded(dependence.deviation_matrix(index, n, "ksp", M, seed=SEED, refs=[0, 3]))
 
 
-@query(f"""WITH {E8}, {its(M)}, {PAIRS.format(its='it')},
+@query(f"""WITH {VECTORS}, {its(M)}, {PAIRS.format(its='it')},
 tested AS (SELECT r.dim, sl.other, sl.it, r.rk, r.n, sl.inside FROM r JOIN sl USING (row_id) WHERE r.dim <> sl.other AND ({draw_sql(SEED, 'it', REF_KEY)} % 2 = 0) = (r.dim < sl.other)),
 {ks_sql('tested', 'dim, other, it', True)} SELECT greatest(dim, other) AS x, least(dim, other) AS y, round(avg(score), 6) AS score FROM scores GROUP BY ALL""")
 def contrast_matrix(spark, sf_dir):
-    index, n = _index(spark, sf_dir)
+    index, n = _ranked(spark, sf_dir)
     return _rounded(dependence.contrast_matrix(index, n, "ksp", M, seed=SEED))
 
 
 def _subspace_sql(ref: str, size: str, test: str) -> str:
     """One score for SUBSPACE; ref: an expression of it for the reference."""
-    return f"""WITH {E8}, {its(M)}, z AS (SELECT *, {ref} AS ref FROM r, it WHERE dim IN ({', '.join(map(str, SUBSPACE))})),
+    return f"""WITH {VECTORS}, {its(M)}, z AS (SELECT *, {ref} AS ref FROM r, it WHERE dim IN ({', '.join(map(str, SUBSPACE))})),
 x AS (SELECT it, row_id, ref, bool_and(dim = ref OR (rk >= {start_sql(size)} AND rk < {start_sql(size)} + {size})) AS inside FROM z GROUP BY it, row_id, ref),
 tested AS (SELECT r.dim, it, rk, n, inside FROM x JOIN r ON r.dim = x.ref AND r.row_id = x.row_id),
 {ks_sql('tested', 'dim, it', test == 'ksp')} SELECT round(avg(score), 6) AS score FROM scores"""
@@ -400,7 +407,7 @@ mx AS (SELECT it, n1, n2, spread, CASE WHEN n1 > 0 AND n2 > 0 AND spread > 0 THE
 scores AS (SELECT it, CASE WHEN n1 = 0 OR n2 = 0 THEN 1.0 WHEN spread <= 0 THEN 0.0 WHEN x >= 6 THEN 1.0 ELSE {ERF} END AS score FROM mx)"""
 
 
-@query(f"""WITH {E8}, {its(M)}, x AS (SELECT it, row_id, bool_and(dim = 0 OR (rk >= {start_sql(SIZE3)} AND rk < {start_sql(SIZE3)} + {SIZE3})) AS inside FROM r, it WHERE dim IN (0, 1, 2) GROUP BY it, row_id),
+@query(f"""WITH {VECTORS}, {its(M)}, x AS (SELECT it, row_id, bool_and(dim = 0 OR (rk >= {start_sql(SIZE3)} AND rk < {start_sql(SIZE3)} + {SIZE3})) AS inside FROM r, it WHERE dim IN (0, 1, 2) GROUP BY it, row_id),
 {MWP_ROWS.format(ref=0)} SELECT round(avg(score), 6) AS score FROM scores""")
 def mwp_pvalue(spark, sf_dir):
     index, n = _index(spark, sf_dir)
@@ -413,7 +420,7 @@ MIXED_SLICE = f"x AS (SELECT it, row_id, rk >= {start_sql(half())} AND rk < {sta
 @query(f"""WITH {MIXED}, {its(5)}, {MIXED_SLICE}, {MWP_ROWS.format(ref=1)} SELECT round(avg(score), 6) AS score FROM scores""")
 def mwp_ties(spark, sf_dir):
     """The ordinal column against a slice of the numeric one."""
-    index = ranks.corrected_index(mixed(spark, sf_dir))
+    index = materialize(ranks.corrected_index(mixed(spark, sf_dir)), "index")
     return _rounded(dependence.subspace_score(index, table(spark, sf_dir, "events").count(), [0, 1], 1, "mwp", 5, seed=SEED))
 
 
@@ -432,7 +439,7 @@ def csp_pvalue(spark, sf_dir):
 @query()
 def mcdep_mixed(spark, sf_dir):
     """Contrast of columns of three kinds, each by its own test and slice."""
-    index = ranks.corrected_index(mixed(spark, sf_dir))
+    index = materialize(ranks.corrected_index(mixed(spark, sf_dir)), "index")
     return _rounded(dependence.subspace_score(index, table(spark, sf_dir, "events").count(), [0, 1, 2], None, "mcdep", 5, seed=SEED, kinds=KINDS))
 
 
@@ -448,43 +455,46 @@ def stream_contrast_multi(spark, sf_dir):
 
 # -- searches --------------------------------------------------------------------------------------------
 
-#: Level 2 with scores that any engine draws, less every third pair.
-LEVEL_SQL = f"""lv AS (SELECT [x, y] AS dims, ({draw_sql(7, 'x', 'y')} % 1000) / 1000.0::DOUBLE AS score FROM
-  (SELECT x, unnest(range(x + 1, {D}))::INT AS y FROM (SELECT unnest(range(0, {D}))::INT AS x)) WHERE (x + y) % 3 > 0)"""
+#: Level 2: pairs of suppliers' and lines' numbers with the largest discounted price.
+LEVEL_SQL = """lv AS (SELECT [least(a, b), greatest(a, b)] AS dims, max(l_extendedprice * (1 - l_discount))::DOUBLE AS score
+  FROM (SELECT *, (l_suppkey % 6)::INT AS a, ((l_linenumber + l_orderkey) % 9)::INT AS b FROM lineitem) WHERE a <> b GROUP BY ALL)"""
 JOIN_SQL = "cj AS (SELECT DISTINCT list_sort(list_distinct(list_concat(a.dims, b.dims))) AS dims FROM lv a, lv b WHERE len(list_intersect(a.dims, b.dims)) = 1)"
 PRUNE_SQL = "pr AS (SELECT dims FROM cj WHERE (SELECT count(*) FROM lv WHERE list_has_all(cj.dims, lv.dims)) = 3)"
-ABOVE_SQL = f"up AS (SELECT dims, ({draw_sql(9, 'dims[1] * 64 + dims[2] * 8', 'dims[3]')} % 1000) / 1000.0::DOUBLE AS score FROM pr)"
+ABOVE_SQL = "up AS (SELECT pr.dims, avg(score) AS score FROM pr JOIN lv ON list_has_all(pr.dims, lv.dims) GROUP BY pr.dims)"
 
 
-def _level(spark) -> DataFrame:
-    x = spark.range(D).select(F.col("id").cast("int").alias("x"), F.explode(F.expr(f"CASE WHEN id < {D - 1} THEN sequence(cast(id + 1 as int), {D - 1}) END")).alias("y"))
-    return x.where("(x + y) % 3 > 0").select(F.array("x", "y").alias("dims"), (draw(7, "x", "y") % 1000 / 1000.0).alias("score"))
+def _level(spark, sf_dir) -> DataFrame:
+    a, b = F.pmod("l_suppkey", F.lit(6)).cast("int"), F.pmod(F.col("l_linenumber") + F.col("l_orderkey"), F.lit(9)).cast("int")
+    rows = table(spark, sf_dir, "lineitem").withColumn("a", a).withColumn("b", b).where("a <> b")
+    return rows.groupBy(F.array(F.least("a", "b"), F.greatest("a", "b")).alias("dims")).agg(F.max(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("score"))
 
 
-def _above(spark) -> DataFrame:
-    p = search.prune_candidates(search.candidate_join(_level(spark)), _level(spark))
-    return p.select("dims", (draw(9, "dims[0] * 64 + dims[1] * 8", "dims[2]") % 1000 / 1000.0).alias("score"))
+def _above(spark, sf_dir) -> DataFrame:
+    """Sets of three with the mean score of the pairs they hold."""
+    level = _level(spark, sf_dir)
+    pairs = search.prune_candidates(search.candidate_join(level), level).select("dims", F.explode(F.array(*[F.array(F.col("dims")[i], F.col("dims")[j]) for i, j in ((0, 1), (0, 2), (1, 2))])).alias("pair"))
+    return pairs.join(level.select(F.col("dims").alias("pair"), "score"), "pair").groupBy("dims").agg(F.avg("score").alias("score"))
 
 
 @query(f"WITH {LEVEL_SQL}, {JOIN_SQL} SELECT dims FROM cj")
 def levelwise_candidates(spark, sf_dir):
-    return search.candidate_join(_level(spark))
+    return search.candidate_join(_level(spark, sf_dir))
 
 
 @query(f"WITH {LEVEL_SQL}, {JOIN_SQL}, {PRUNE_SQL} SELECT dims FROM pr")
 def levelwise_prune(spark, sf_dir):
-    return search.prune_candidates(search.candidate_join(_level(spark)), _level(spark))
+    return search.prune_candidates(search.candidate_join(_level(spark, sf_dir)), _level(spark, sf_dir))
 
 
-@query(f"WITH {LEVEL_SQL}, {JOIN_SQL}, {PRUNE_SQL}, {ABOVE_SQL} SELECT dims, score FROM lv WHERE NOT EXISTS (SELECT 1 FROM up WHERE list_has_all(up.dims, lv.dims) AND lv.score < up.score)")
+@query(f"WITH {LEVEL_SQL}, {JOIN_SQL}, {PRUNE_SQL}, {ABOVE_SQL} SELECT dims, round(score, 4) AS score FROM lv WHERE NOT EXISTS (SELECT 1 FROM up WHERE list_has_all(up.dims, lv.dims) AND lv.score < up.score)")
 def levelwise_redundancy(spark, sf_dir):
-    return search.drop_redundant(_level(spark), _above(spark))
+    return search.drop_redundant(_level(spark, sf_dir), _above(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {LEVEL_SQL} SELECT dims, score FROM lv ORDER BY score DESC, dims LIMIT 5")
+@query(f"WITH {LEVEL_SQL} SELECT dims, round(score, 4) AS score FROM lv ORDER BY score DESC, dims LIMIT 5")
 def levelwise_top(spark, sf_dir):
     """A top-k report."""
-    return search.top_sets(_level(spark), 5)
+    return search.top_sets(_level(spark, sf_dir), 5).withColumn("score", F.round("score", 4))
 
 
 @query()
@@ -500,29 +510,27 @@ def greedy_search(spark, sf_dir):
 # -- streaming search ----------------------------------------------------------------------------------------
 
 
-def _scores(spark) -> DataFrame:
-    return spark.range(D).select(F.col("id").cast("int").alias("dim"), (draw(3, 1, "id") % 1000 / 1000.0).alias("score"))
-
-
-@query(f"""WITH d AS (SELECT unnest(range(0, {D}))::INT AS dim), s AS (SELECT dim, ({draw_sql(3, 1, 'dim')} % 1000) / 1000.0::DOUBLE AS score FROM d)
-SELECT 'all' AS policy, dim FROM d UNION ALL (SELECT 'worst', dim FROM s ORDER BY score, dim LIMIT 3) UNION ALL (SELECT 'random', dim FROM d ORDER BY {draw_sql(4, 0, 'dim')}, dim LIMIT 3)""")
+@query(f"""WITH {VECTORS}, s AS (SELECT dim, max(v) AS score FROM e GROUP BY dim)
+SELECT 'all' AS policy, dim FROM s UNION ALL (SELECT 'worst', dim FROM s ORDER BY score, dim LIMIT 3) UNION ALL (SELECT 'random', dim FROM s ORDER BY {draw_sql(4, 0, 'dim')}, dim LIMIT 3)""")
 def select_dimensions(spark, sf_dir):
     """Which columns the stateless selectors search anew."""
-    s = _scores(spark)
+    s = long(spark, sf_dir).groupBy("dim").agg(F.max("v").alias("score"))
     worst, rand = s.orderBy("score", "dim").limit(3), s.orderBy(draw(4, 0, "dim"), "dim").limit(3)
     own = lambda name, df: df.select(F.lit(name).alias("policy"), "dim")
     return own("all", s).unionByName(own("worst", worst)).unionByName(own("random", rand))
 
 
 def _streams(spark, sf_dir) -> DataFrame:
-    """Vectors of each label as a stream of four columns."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("string").alias("stream"), F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
+    """Customers of each region as a stream of three columns."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    c = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    x = [F.col("c_acctbal"), F.pmod("c_custkey", F.lit(97)) + F.col("c_acctbal") / 1000, F.length("c_mktsegment") + F.pmod("c_custkey", F.lit(7)) / 7]
+    return c.select(F.col("n_regionkey").cast("string").alias("stream"), F.col("c_custkey").cast("long").alias("row_id"), *[v.cast("double").alias(f"x{i}") for i, v in enumerate(x)])
 
 
 def _search(policy: str):
     def run(spark, sf_dir):
-        return searcher.search_stream(_streams(spark, sf_dir), searcher.Search(m=8, policy=policy, window=20, step=5))
+        return searcher.search_stream(_streams(spark, sf_dir), searcher.Search(m=8, policy=policy, window=20, step=5, monitor=False))
 
     run.__name__ = f"stream_search_{policy}"
     return run
@@ -535,50 +543,80 @@ for _policy in ("all", "none", "random", "worst", "mpts", "sts", "stsadwin"):
 # -- outliers -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT vec_id AS row_id, embedding[1:8]::DOUBLE[] AS x FROM embeddings),
-d AS (SELECT a.row_id AS i, b.row_id AS j, sqrt(list_sum([power(a.x[k] - b.x[k], 2) FOR k IN range(1, 9)])) AS d FROM p a, p b WHERE a.row_id <> b.row_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS nth FROM d), kd AS (SELECT i, max(d) AS kth FROM k WHERE nth <= 10 GROUP BY i),
-nb AS (SELECT d.i, d.j, d.d FROM d JOIN kd USING (i) WHERE d.d <= kd.kth),
-den AS (SELECT nb.i, count(*) / sum(greatest(nb.d, kd.kth)) AS lrd FROM nb JOIN kd ON kd.i = nb.j GROUP BY nb.i)
-SELECT nb.i AS row_id, round(avg(b.lrd / a.lrd), 6) AS score FROM nb JOIN den a ON a.i = nb.i JOIN den b ON b.i = nb.j GROUP BY nb.i""")
+def _lof_sql(windows: str, sets: str, size: int) -> str:
+    """Mean score of each row over windows (w, first, last) and sets (s, dims) of
+    columns from 1 on; rows p (row_id, x) are numbered 0, 1, ..."""
+    return f"""p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id AS row_id, embedding::DOUBLE[] AS x FROM embeddings), {windows}, {sets},
+m AS (SELECT w, s, dims, r, row_id, [x[k] FOR k IN dims] AS x FROM ws JOIN p ON r BETWEEN first AND last, sets),
+d AS (SELECT a.w, a.s, a.row_id AS i, b.row_id AS j, sqrt(list_sum([power(a.x[k] - b.x[k], 2) FOR k IN range(1, len(a.dims) + 1)])) AS d
+  FROM m a JOIN m b ON a.w = b.w AND a.s = b.s AND a.row_id <> b.row_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY w, s, i ORDER BY d, j) AS nth FROM d), kd AS (SELECT w, s, i, max(d) AS kth FROM k WHERE nth <= {size} GROUP BY w, s, i),
+nb AS (SELECT d.* FROM d JOIN kd USING (w, s, i) WHERE d.d <= kd.kth),
+den AS (SELECT nb.w, nb.s, nb.i, count(*) / sum(greatest(nb.d, kd.kth)) AS lrd FROM nb JOIN kd ON kd.w = nb.w AND kd.s = nb.s AND kd.i = nb.j GROUP BY nb.w, nb.s, nb.i),
+sc AS (SELECT nb.w, nb.s, nb.i, avg(b.lrd / a.lrd) AS score FROM nb JOIN den a ON a.w = nb.w AND a.s = nb.s AND a.i = nb.i JOIN den b ON b.w = nb.w AND b.s = nb.s AND b.i = nb.j GROUP BY nb.w, nb.s, nb.i),
+pw AS (SELECT w, i, avg(score) AS score FROM sc GROUP BY w, i)
+SELECT i AS row_id, round(avg(score), 6) AS score FROM pw GROUP BY i"""
+
+
+WHOLE = "ws AS (SELECT 0 AS w, 0 AS first, count(*) - 1 AS last FROM p)"
+ALL_DIMS = "sets AS (SELECT 0 AS s, range(1, len(x) + 1) AS dims FROM p WHERE r = 0)"
+
+
+def _some(sets: list[list[int]]) -> str:
+    return "sets AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {[d + 1 for d in x]})" for i, x in enumerate(sets)) + ") AS t(s, dims))"
+
+
+@query("WITH " + _lof_sql(WHOLE, ALL_DIMS, 10))
 def lof_full(spark, sf_dir):
     return _rounded(outliers.full_space_lof(wide(spark, sf_dir), 10))
 
 
-@query()
+@query("WITH " + _lof_sql(WHOLE, _some([[0, 1], [2, 3, 4]]), 10))
 def lof_subspaces(spark, sf_dir):
     return _rounded(outliers.subspace_miner(wide(spark, sf_dir), [[0, 1], [2, 3, 4]], "lof", 10))
 
 
-def _hash_sql(reps: int, ensemble: bool) -> str:
+EVENTS = """e3 AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS row_id, [value::DOUBLE, (user_id % 97 + value / 10)::DOUBLE, (length(event_type) * value)::DOUBLE] AS x FROM events),
+e AS (SELECT row_id, unnest(range(0, 3))::INT AS dim, unnest(x) AS v FROM e3)"""
+
+
+def _hash_sql(matrix: str, reps: int, ensemble: bool) -> str:
     unit = lambda seed, a, b: f"({draw_sql(seed, a, b)} / {MODULUS}.0::DOUBLE)"
     if ensemble:
         top = "ln(s) / ln(greatest(2, 1 / f))"
         chosen = f"""fr AS (SELECT *, round(1 + {top} / 2 + {unit(SEED + 6, 'rep', 0)} * ({top} - 1 - {top} / 2)) AS want FROM fs),
-own AS (SELECT * FROM (SELECT fr.*, b.*, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(SEED + 7, 'rep', 'dim')}, dim) AS nth, count(*) OVER (PARTITION BY rep) AS n_live FROM fr, b) WHERE nth <= greatest(1, least(want, n_live)))"""
+own AS (SELECT * FROM (SELECT fr.*, dim, lo, hi, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(SEED + 7, 'rep', 'dim')}, dim) AS nth, count(*) OVER (PARTITION BY rep) AS n_live FROM fr JOIN b USING (rep)) WHERE nth <= greatest(1, least(want, n_live)))"""
     else:
-        chosen = "own AS (SELECT * FROM fs, b)"
-    return f"""WITH {E8}, n AS (SELECT count(DISTINCT row_id) AS n, least(1000, count(DISTINCT row_id)) AS s FROM e),
-sm AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM e) ORDER BY {draw_sql(SEED, 0, 'row_id')}, row_id LIMIT 1000),
-b AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM e JOIN sm USING (row_id) GROUP BY dim HAVING max(v) > min(v)), rp AS (SELECT unnest(range(0, {reps}))::INT AS rep),
+        chosen = "own AS (SELECT * FROM fs JOIN b USING (rep))"
+    return f"""WITH {matrix}, ids AS (SELECT DISTINCT row_id FROM e), n AS (SELECT count(*) AS n, least(1000, count(*)) AS s FROM ids), rp AS (SELECT unnest(range(0, {reps}))::INT AS rep),
+sm AS (SELECT rep, row_id FROM (SELECT rep, row_id, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(SEED, 'rep', 'row_id')}, row_id) AS k FROM rp, ids) WHERE k <= 1000),
+b AS (SELECT rep, dim, min(v) AS lo, max(v) AS hi FROM e JOIN sm USING (row_id) GROUP BY rep, dim HAVING max(v) > min(v)),
 fs AS (SELECT rep, s, 1 / sqrt(s) + {unit(SEED + 5, 'rep', 0)} * (1 - 2 * (1 / sqrt(s))) AS f FROM rp, n), {chosen},
 c AS (SELECT rep, dim, row_id, floor(((v - lo) / (hi - lo) + {unit(SEED + 8, 'rep', 'dim')} * f) / f)::BIGINT AS cell FROM own JOIN e USING (dim)),
 j AS (SELECT unnest(range(0, 4))::INT AS j), h AS (SELECT rep, row_id, j, sum({draw_sql(f'({SEED + 11} + j)', 'dim', 'cell + 1000000')}) % 10000 AS h FROM c, j GROUP BY rep, row_id, j),
-k AS (SELECT rep, row_id, count(*) OVER (PARTITION BY rep, j, h) AS k FROM h), l AS (SELECT rep, row_id, min(k) AS k FROM k GROUP BY rep, row_id)
+k AS (SELECT rep, j, h, count(*) AS k FROM h JOIN sm USING (rep, row_id) GROUP BY rep, j, h),
+l AS (SELECT h.rep, h.row_id, min(coalesce(k, 0)) + max(CASE WHEN sm.row_id IS NULL THEN 1 ELSE 0 END) AS k FROM h LEFT JOIN k ON k.rep = h.rep AND k.j = h.j AND k.h = h.h
+  LEFT JOIN sm ON sm.rep = h.rep AND sm.row_id = h.row_id GROUP BY h.rep, h.row_id)
 SELECT row_id, round(avg(-log2(k)), 6) AS score FROM l GROUP BY row_id"""
 
 
-@query(_hash_sql(1, False))
+@query(_hash_sql(VECTORS, 1, False))
 def rshash_single(spark, sf_dir):
     return _rounded(outliers.rs_hash(wide(spark, sf_dir), 1, SEED, False))
 
 
-@query(_hash_sql(25, True))
+@query(_hash_sql(VECTORS, 25, True))
 def rshash_ensemble(spark, sf_dir):
     return _rounded(outliers.rs_hash(wide(spark, sf_dir), 25, SEED, True))
 
 
-@query()
+@query(_hash_sql(EVENTS, 5, True))
+def rshash_sampled(spark, sf_dir):
+    """Rows beyond the sample of each repetition count themselves."""
+    return _rounded(outliers.rs_hash(events(spark, sf_dir), 5, SEED, True))
+
+
+@query("WITH " + _lof_sql("ws AS (SELECT w, w * 50 AS first, w * 50 + 99 AS last FROM (SELECT unnest(range(0, (count(*) - 100) // 50 + 1)) AS w FROM p))", _some([[0, 1], [2, 3]]), 10))
 def stream_miner_lof(spark, sf_dir):
     return _rounded(outliers.stream_miner(wide(spark, sf_dir), 100, 50, "lof", 10, {-1: [[0, 1], [1, 0], [2, 3]]}, distinct=True))
 
@@ -588,7 +626,7 @@ def stream_miner_hash(spark, sf_dir):
     return _rounded(outliers.stream_miner(full(spark, sf_dir), 100, 50, "hash"))
 
 
-@query()
+@query("WITH " + _lof_sql("ws AS (SELECT w, w * 50 AS first, w * 50 + 99 AS last FROM (SELECT unnest(range(0, (count(*) - 1) // 50 + 1)) AS w FROM p))", ALL_DIMS, 10))
 def stream_miner_full(spark, sf_dir):
     return _rounded(outliers.stream_miner(full(spark, sf_dir), 100, 50, "lof", 10))
 
@@ -671,37 +709,46 @@ def oracle_sequential(spark, sf_dir):
     return monitor.oracle_sequential(gains(spark, sf_dir).select("t", "arm", "reward"), 2, 3)
 
 
-SCALING = [(i, 2 + i % 5, round(0.13 * i % 1, 2)) for i in range(20)]
+ROUNDS = f"""ro AS (SELECT t AS round, arm, arm < 1 + t % 2 AS played, t + 1 AS t, reward, sum(reward) OVER (PARTITION BY arm ORDER BY t ROWS UNBOUNDED PRECEDING) AS total, (t + 1)::DOUBLE AS cnt FROM g)"""
 
 
-def _scaling(spark) -> DataFrame:
-    return spark.createDataFrame(SCALING, "round int, k int, eff double")
+def _rounds(spark, sf_dir) -> DataFrame:
+    """Steps of the pair stream as rounds: one or two arms of three are played,
+    and what each has gained so far is known."""
+    w = W.partitionBy("arm").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    g = gains(spark, sf_dir)
+    return g.select(F.col("t").alias("round"), "arm", (F.col("arm") < 1 + F.pmod("t", F.lit(2))).alias("played"), (F.col("t") + 1).alias("t"), "reward", F.sum("reward").over(w).alias("sum"), (F.col("t") + 1).cast("double").alias("cnt"))
 
 
-SCALING_SQL = "sc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}, {e}::DOUBLE)" for i, k, e in SCALING) + ") AS t(round, k, eff))"
-
-
-@query(f"""WITH {SCALING_SQL} SELECT round, CASE WHEN eff < 0.5 THEN greatest(1, floor(0.75 * k)) ELSE least(6, ceil(1.25 * k)) END::INT AS by_factor,
-CASE WHEN eff < 0.5 THEN greatest(1, k - 1) ELSE least(6, k + 1) END AS by_one FROM sc""")
+@query(f"""WITH {STREAM}, {ROUNDS}, sc AS (SELECT round, avg(reward) AS eff, avg(total / cnt) AS far, count(*) AS k FROM ro WHERE played GROUP BY round)
+SELECT round, CASE WHEN eff < 0.1 THEN greatest(1, floor(0.75 * k)) ELSE least(3, ceil(1.25 * k)) END::INT AS by_factor, CASE WHEN eff < 0.1 THEN greatest(1, k - 1) ELSE least(3, k + 1) END::INT AS by_one,
+CASE WHEN far < 0.1 THEN greatest(1, k - 1) ELSE least(3, k + 1) END::INT AS by_one_cumulative FROM sc""")
 def scaling_naive(spark, sf_dir):
-    return _scaling(spark).select("round", monitor.naive_scaling_1(F.col("eff"), F.col("k"), 0.5, 0.25, 1, 6).alias("by_factor"), monitor.naive_scaling_2(F.col("eff"), F.col("k"), 0.5, 1, 6).alias("by_one"))
+    """By the last step's efficiency and by the cumulative one."""
+    per = _rounds(spark, sf_dir).where("played").groupBy("round").agg(F.avg("reward").alias("eff"), F.avg(F.col("sum") / F.col("cnt")).alias("far"), F.count("*").alias("k"))
+    one = lambda e: monitor.naive_scaling_2(F.col(e), F.col("k"), 0.1, 1, 3)
+    return per.select("round", monitor.naive_scaling_1(F.col("eff"), F.col("k"), 0.1, 0.25, 1, 3).alias("by_factor"), one("eff").alias("by_one"), one("far").alias("by_one_cumulative"))
 
 
-def _arms(spark, plus: bool) -> DataFrame:
-    """Arms with what they gained so far, for each round of the table."""
-    arms = _scaling(spark).withColumn("arm", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    arms = arms.withColumn("cnt", (draw(5, "round", "arm") % 40 + 1).cast("double")).withColumn("sum", F.col("cnt") * (draw(6, "round", "arm") % 100) / 100.0)
-    return monitor.kl_scaling(arms, 50, F.col("eff"), F.col("k"), 0.5, 1, 8, plus)
+def _kl_sql(plus: bool) -> str:
+    log = "ln(greatest(t / cnt, 1))" if plus else "ln(greatest(t, 1))"
+    return f"""WITH RECURSIVE {STREAM}, {ROUNDS},
+h AS (SELECT round, arm, greatest(total / cnt, 1e-8) AS p, {log} / cnt AS bonus, greatest(total / cnt, 1e-8) AS near, (1 - 1e-8)::DOUBLE AS far, 0 AS i FROM ro
+  UNION ALL SELECT round, arm, p, bonus, CASE WHEN fits THEN q ELSE near END, CASE WHEN fits THEN far ELSE q END, i + 1 FROM
+    (SELECT *, p * ln(p / q) + (1 - p) * ln((1 - p) / (1 - q)) <= bonus AS fits FROM (SELECT *, (near + far) / 2 AS q FROM h WHERE i < 60 AND p < 1))),
+b AS (SELECT round, arm, CASE WHEN p >= 1 THEN 1 ELSE near END AS b FROM h WHERE i = 60 OR p >= 1),
+ix AS (SELECT round, list(b ORDER BY b DESC) AS b FROM b GROUP BY round), ef AS (SELECT round, avg(total / cnt) AS eff, count(*) AS k FROM ro WHERE played GROUP BY round)
+SELECT round, k, (CASE WHEN eff <= 0.1 THEN greatest(least(1, k), k - 1) WHEN k < 3 AND k / (k + 1) * eff + coalesce(b[k + 1], 0) / (k + 1) > 0.1 THEN k + 1 ELSE k END)::INT AS next_k FROM ef JOIN ix USING (round)"""
 
 
-@query()
+@query(_kl_sql(False))
 def scaling_kl(spark, sf_dir):
-    return _arms(spark, False)
+    return monitor.kl_scaling(_rounds(spark, sf_dir), 0.1, 1, 3)
 
 
-@query()
+@query(_kl_sql(True))
 def scaling_kl_plus(spark, sf_dir):
-    return _arms(spark, True)
+    return monitor.kl_scaling(_rounds(spark, sf_dir), 0.1, 1, 3, True)
 
 
 def _bandit(name: str):
@@ -773,9 +820,16 @@ def precision_recall_at(spark, sf_dir):
     return metrics.precision_recall_at(ranking(spark, sf_dir)).select("percent", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 
-@query()
+_AT = ", ".join(f"(SELECT coalesce(sum(y) FILTER (place < floor(n / 100 * {k})), 0) FROM o, t GROUP BY n) AS h{k}" for k in (1, 2, 5, 10, 20, 30))
+_AT_SQL = ", ".join(f"CASE WHEN h{k} > 0 THEN h{k} / floor(n / 100 * {k}) ELSE 0 END AS p{k}, CASE WHEN h{k} > 0 THEN h{k} / p ELSE 0 END AS r{k}" for k in (1, 2, 5, 10, 20, 30))
+
+
+@query(f"""WITH {PR}, hit AS (SELECT {_AT}), a AS (SELECT sum(CASE WHEN y = 0 THEN tp ELSE 0 END) / max(p * (n - p)) AS roc_auc, sum(CASE WHEN y = 1 THEN tp / (place + 1) ELSE 0 END) / max(p) AS average_precision FROM o, t),
+b AS (SELECT sum(own / p * tp / upto) AS pr_auc FROM pr, t), s AS (SELECT roc_auc, pr_auc, average_precision, {_AT_SQL} FROM a, b, hit, t)
+SELECT round(COLUMNS(*), 6) FROM s""")
 def evaluation_summary(spark, sf_dir):
-    return metrics.evaluate(ranking(spark, sf_dir))
+    out = metrics.evaluate(ranking(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 # -- reports -----------------------------------------------------------------------------------------------------------------
@@ -827,8 +881,6 @@ def rolling_mean_100(spark, sf_dir):
 @query(f"""WITH {RUNS}, n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY i) AS step FROM runs), gold AS (SELECT step, max(value) AS gold FROM n GROUP BY step)
 SELECT event_type, step, round(sum(gold - value) OVER (PARTITION BY event_type ORDER BY step ROWS UNBOUNDED PRECEDING), 4) AS regret FROM n JOIN gold USING (step)""")
 def cumulative_regret(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     n = _runs(spark, sf_dir).select("event_type", "value", F.row_number().over(W.partitionBy("event_type").orderBy("i")).alias("step"))
     best = n.groupBy("step").agg(F.max("value").alias("value"))
     return report.cumulative_regret(n, best, ["event_type"], "step", "value").select("event_type", "step", F.round("regret", 4).alias("regret"))

@@ -31,7 +31,8 @@ REWARDS = {
 @dataclass(frozen=True)
 class Scaling:
     """kind: none, naive1 (by a factor), naive2 (by one, last step's efficiency),
-    naive3 (by one, cumulative efficiency), kl, klplus."""
+    naive3 (by one, cumulative efficiency), kl and klplus (by one, cumulative
+    efficiency of the arms played; up where the next arm's index allows it)."""
 
     kind: str = "none"
     k: int = 3
@@ -53,8 +54,11 @@ class Scaling:
             return max(self.lo, k - 1) if eff < self.delta else min(hi, k + 1)
         if self.kind not in ("kl", "klplus"):
             raise ValueError(f"no scaling {self.kind}")
+        k, eff = len(played), float(np.mean([sums[a] / counts[a] if counts[a] else 0 for a in played]))
         if eff <= self.delta:
-            return max(self.lo, k - 1)
+            return max(min(self.lo, k), k - 1)
+        if k >= hi:
+            return k
         index = sorted((kl_index(sums[a], counts[a], t, self.kind == "klplus") for a in range(len(sums))), reverse=True)
         b = index[k] if k < len(index) else 0.0
         return min(hi, k + 1) if k / (k + 1) * eff + b / (k + 1) > self.delta else k
@@ -127,9 +131,7 @@ class Policy:
         if b == "cucbm":
             return self._top(self._ucb(0.5, self.sums, self.counts, self.t))
         if b == "mpswucb":
-            s = np.array([sum(r for _, r in q) for q in self.recent]) + self.start
-            c = np.array([len(q) for q in self.recent]) + self.start
-            return self._top(self._ucb(1.5, s, c, min(self.t, self.parameter)))
+            return self._top(self._ucb(1.5, *self._windowed(), min(self.t, self.parameter)))
         if b in ("cts", "mpts", "mpdts"):
             return self._top(self.rng.beta(self.alpha, self.beta))
         if b in ("mpots", "mpdots"):
@@ -223,10 +225,6 @@ class Policy:
             step.append((a, d, own))
             if self.adwin:
                 self.adwin.add(a, d)
-        if b in ("exp3m", "exp3mg"):
-            for a, d, _ in step:
-                if not self.capped[a]:
-                    self.logw[a] += self.k * self.g * d / (self.p[a] * self.arms)
         if b == "mpswucb":
             for a, q in enumerate(self.recent):
                 q.extend((self.t, d) for x, d, _ in step if x == a)
@@ -236,9 +234,20 @@ class Policy:
         if self.adwin:
             self.history.append(step)
             self._forget()
-        self.k = min(self.scaling.next(self.k, gains, played, self.sums, self.counts, max(self.t, 1.0)), self.arms)
+        sums, counts, t = self.sums, self.counts, max(self.t, 1.0)
+        if b == "mpswucb":
+            sums, counts, t = *self._windowed(), min(t, self.parameter)
+        self.k = min(self.scaling.next(self.k, gains, played, sums, counts, t), self.arms)
+        if b in ("exp3m", "exp3mg"):  # with the number of arms of the next step
+            for a, d, _ in step:
+                if not self.capped[a]:
+                    self.logw[a] += self.k * self.g * d / (self.p[a] * self.arms)
         return gains
 
+    def _windowed(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each arm gained in the window, and how often it was played there."""
+        return np.array([sum(r for _, r in q) for q in self.recent]) + self.start, np.array([len(q) for q in self.recent]) + self.start
+
     def _forget(self) -> None:
         """Undo steps older than the shortest window, counted in steps."""
         n = len(self.history)

@@ -61,11 +61,12 @@ class SelectRandom(Selector):
 
 class SelectBandit(Selector):
     """Thompson sampling with a column as arm; a search is a gain where it raises
-    the score by more than the threshold. scaling none keeps n fixed; kl scales
-    it to the efficiency eta; a delta adds change detection."""
+    the score by more than the threshold. Without eta n columns are searched;
+    with it all at first, then as many as keep the efficiency above eta; a delta
+    adds change detection."""
 
     def __init__(self, d: int, n: int = 1, threshold: float = 0.0, eta: float | None = None, delta: float | None = None, seed: int = 1):
-        scaling = Scaling("none", n) if eta is None else Scaling("kl", n, eta, lo=1, hi=d)
+        scaling = Scaling("none", n) if eta is None else Scaling("kl", d, eta, lo=1, hi=d)
         self.threshold = threshold
         self.policy = Policy("mpts" if delta is None else "mpts_adwin", d, scaling, "absolute", 0.5, delta=delta or 0.1, seed=seed)
 

@@ -91,8 +91,12 @@ def test_scaling():
     assert Scaling("naive1", 2, 0.5, 0.5).next(3, [0.9], [0], s, c, 9) == 4
     assert Scaling("naive2", 2, 0.5).next(2, [0.9], [0], s, c, 9) == 3
     assert Scaling("naive3", 2, 0.5).next(2, [0.9], [1], s, c, 9) == 1
-    assert Scaling("kl", 2, 0.5).next(2, [0.4], [0], s, c, 9) == 1
-    assert Scaling("kl", 2, 0.5).next(2, [1.0], [0], s, c, 9) == 3
+    # by what the arms played have gained so far (5/6 and 1/4), not by this step
+    assert Scaling("kl", 2, 0.5).next(2, [0.0, 0.0], [0, 1], s, c, 9) == 3
+    assert Scaling("kl", 2, 0.6).next(2, [1.0, 1.0], [0, 1], s, c, 9) == 1
+    assert Scaling("kl", 2, 0.5).next(1, [1.0], [1], s, c, 9) == 1
+    assert Scaling("kl", 2, 0.5, hi=2).next(2, [1.0, 1.0], [0, 1], s, c, 9) == 2
+    assert Scaling("klplus", 2, 0.6).next(1, [0.0], [0], np.array([9.0, 1]), np.array([10.0, 9]), 1) == 1
     with pytest.raises(ValueError):
         Scaling("x").next(2, [0.4], [0], s, c, 9)
     with pytest.raises(ValueError):
@@ -140,10 +144,62 @@ def test_run_policies(spark):
 @pytest.mark.parametrize("plus", [False, True])
 def test_scaling_columns(spark, plus):
     """The next number of arms by columns and by the state machine's class."""
-    from strandline.functions.draws import draw_np
+    got = {r["round"]: (r.k, r.next_k) for r in (Q.monitor.kl_scaling(Q._rounds(spark, SMALL), 0.1, 1, 3, plus)).collect()}
+    rounds = {}
+    for r in Q._rounds(spark, SMALL).collect():
+        rounds.setdefault(r["round"], []).append(r)
+    assert set(got) == set(rounds)
+    for i, rows in rounds.items():
+        rows.sort(key=lambda r: r.arm)
+        sums, counts = (np.array([r[c] for r in rows]) for c in ("sum", "cnt"))
+        played = [r.arm for r in rows if r.played]
+        want = Scaling("klplus" if plus else "kl", 1, 0.1, lo=1, hi=3).next(len(played), [0.0] * len(played), played, sums, counts, float(rows[0].t))
+        assert got[i] == (len(played), want), i
 
-    got = {r["round"]: r.next_k for r in Q._arms(spark, plus).collect()}
-    for i, k, eff in Q.SCALING:
-        counts = draw_np(5, i, np.arange(8)) % 40 + 1.0
-        sums = counts * (draw_np(6, i, np.arange(8)) % 100) / 100.0
-        assert got[i] == Scaling("klplus" if plus else "kl", k, 0.5, lo=1, hi=8).next(k, [eff], [0], sums, counts, 50.0), i
+
+def test_kl_upper():
+    from strandline.functions.special import kl_upper
+
+    for p, n, bonus in ((0.3, 10, 0.05), (0.0, 4, 0.5), (0.999, 3, 0.001), (0.5, 9, 3.0)):
+        q, p = kl_upper(p, n, bonus), max(p, 1e-8)
+        gap = p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))
+        assert abs(gap - bonus) < 1e-6 or q >= 1 - 2e-8 and gap < bonus
+    assert kl_upper(1.0, 5, 0.1) == 1.0
+
+
+def test_sts_starts_with_all():
+    assert sorted(selector("sts", 6, 1).select([0] * 6)) == sorted(selector("stsadwin", 6, 1).select([0] * 6)) == list(range(6))
+    assert len(selector("mpts", 6, 1).select([0] * 6)) == 1
+
+
+def test_exp3_weights_by_next_number():
+    """A step by hand: the scaled number of arms, 2 after 1, is in the weight."""
+    p = Policy("exp3mg", 4, Scaling("naive2", 1, 0.5), parameter=0.2)
+    (arm,) = p.choose()
+    assert p.p.tolist() == [0.25] * 4
+    p.observe([arm], [0.8])
+    assert p.k == 2 and p.logw[arm] == pytest.approx(2 * 0.2 * 0.8 / 0.25 / 4)
+
+
+def test_window_policy_scales_by_window():
+    """Gains that have left the window no longer hold the number of arms up."""
+    p = Policy("mpswucb", 3, Scaling("kl", 1, 0.6, hi=3), parameter=3)
+    for value in (1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0):
+        played = p.choose()
+        p.observe(played, [value] * len(played))
+    assert p.k == 1
+
+
+@pytest.mark.parametrize("dof,x,want", [(50_000, 52_500.0, 1.0), (50_000, 50_000.0, 0.50084), (20_000, 20_300.0, 0.93275), (3, 2.0, 0.42759), (2000, 1800.0, 0.00047)])
+def test_chi_squared(spark, dof, x, want):
+    from strandline.functions import special
+
+    got = spark.range(1).select(special.chi_squared_cdf(F.lit(x), F.lit(dof)).alias("v")).head().v
+    assert got == pytest.approx(want, abs=2e-4) and special.chi_squared_cdf_np(x, dof) == pytest.approx(got, abs=1e-9)
+
+
+def test_many_ties(spark):
+    from strandline.operators import ranks
+
+    t = spark.range(1).select(ranks._cubed(F.lit(2_200_000).cast("long")).alias("v")).head().v
+    assert t == 2_200_000.0**3 - 2_200_000.0
