@@ -255,3 +255,43 @@ def subspace_miner(wide: DataFrame, subspaces: list[list[int]], detector: str =
         return whole_lof(wide, k, subspaces)
     n = row_count(wide)
     return stream_miner(wide, n, n, "hash", k, {0: subspaces})
+
+
+def logged_miner(wide: DataFrame, log: DataFrame, size: int, step: int, detector: str = "lof", k: int = 10) -> DataFrame:
+    """(row_id, score) over hopping windows, each scored in the subspaces that a
+    search noted at the window's first position. log (step, subspaces): a row for
+    each position 0, 1, ... of the window, and no other number of rows. Windows
+    and their subspaces meet by the window; neither passes the driver."""
+    cols, n = dims_of(wide), row_count(wide)
+    if (found := row_count(log)) != n - size + 1:
+        raise ValueError(f"a log over {n} rows in windows of {size} has {n - size + 1} rows, this one {found}")
+    asked = log.where(F.pmod("step", F.lit(step)) == 0).select((F.col("step") / step).cast("long").alias("window"), F.transform("subspaces", lambda s: F.array_sort(F.array_distinct(s["dims"]))).alias("sets"))
+
+    def score(frame: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(sets):
+            return pd.DataFrame({"row_id": [], "score": []})
+        own = {-1: [list(x) for x in dict.fromkeys(tuple(int(d) for d in x) for x in sets["sets"].iloc[0])]}
+        return _score_windows(cols, own, detector, k, frame)
+
+    windows = windows_of(wide, n, size, step).groupBy("window")
+    return windows.cogroup(asked.groupBy("window")).applyInPandas(score, "row_id long, score double").groupBy("row_id").agg(F.avg("score").alias("score"))
+
+
+#: Search and detector of the miners that find their subspaces themselves.
+PRESETS = {"greedy": ("greedy", "lof"), "levelwise": ("levelwise", "lof"), "full": (None, "lof")}
+
+
+def searching_miner(wide: DataFrame, preset: str = "greedy", k: int = 100, labels: DataFrame | None = None, **search) -> DataFrame:
+    """(row_id, score): subspaces are searched, then rows scored in each, and the
+    mean taken; with labels (row_id, y) one row of measures instead. The driver
+    holds the subspaces: one for each column, or as many as a levelwise search
+    puts out."""
+    from .metrics import evaluate
+    from .search import SEARCHERS
+
+    if preset not in PRESETS:
+        raise ValueError(f"no miner {preset}")
+    how, detector = PRESETS[preset]
+    sets = None if how is None else [list(x) for x in dict.fromkeys(tuple(r.dims) for r in SEARCHERS[how](wide, **search).select("dims").collect())]
+    scored = full_space_lof(wide, k) if sets is None else subspace_miner(wide, sets, detector, k)
+    return scored if labels is None else evaluate(scored.join(labels, "row_id").select("row_id", "score", "y"))

@@ -263,6 +263,12 @@ def slice_uniform(spark, sf_dir):
     return ranks.uniform_slice(ranks.rank_index(long(spark, sf_dir)), 100, M, SEED).where("inside").select("dim", "it", "row_id")
 
 
+@query(f"""WITH {VECTORS}, {its(M)}, x AS (SELECT dim, it, row_id, ((rk - {draw_sql(SEED, 'it', 'dim')} % n) % n + n) % n < 200 AS inside FROM r, it)
+SELECT it, row_id, bool_and(inside) AS inside FROM x WHERE dim IN (1, 2) GROUP BY it, row_id""")
+def subspace_slice_uniform(spark, sf_dir):
+    return ranks.subspace_uniform_slice(ranks.rank_index(long(spark, sf_dir)), SUBSPACE, 0, 200, M, SEED)
+
+
 @query(f"""WITH {VECTORS}, {its(M)}, x AS (SELECT dim, it, row_id, rk >= {start_sql('200')} AND rk < {start_sql('200')} + 200 AS inside FROM r, it)
 SELECT it, row_id, bool_and(inside) AS inside FROM x WHERE dim IN (1, 2) GROUP BY it, row_id""")
 def subspace_slice(spark, sf_dir):
@@ -631,6 +637,16 @@ def stream_miner_full(spark, sf_dir):
     return _rounded(outliers.stream_miner(full(spark, sf_dir), 100, 50, "lof", 10))
 
 
+@query("WITH " + _lof_sql("ws AS (SELECT w, w * 100 AS first, w * 100 + 99 AS last FROM (SELECT unnest(range(0, count(*) // 100)) AS w FROM p))", _some([[0, 1], [5, 9, 63]]), 10))
+def stream_miner_logged(spark, sf_dir):
+    """Windows scored in the subspaces that a log of a search names."""
+    w = wide(spark, sf_dir)
+    n = dataset.row_count(w)
+    line = F.lit("1,0:0.5;63,5,9:0.25;0,1:0.1")
+    log = matrix.parse_log(spark.range(n - 99).select(F.col("id").alias("step"), line.alias("line")))
+    return _rounded(outliers.logged_miner(w, log, 100, 100))
+
+
 @query("SELECT DISTINCT l_linenumber % 4 AS key, list_sort(list_distinct([(l_quantity % 5)::INT, l_linenumber % 5])) AS dims FROM lineitem")
 def distinct_subspaces(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.pmod("l_linenumber", F.lit(4)).alias("key"), F.array(F.pmod("l_quantity", F.lit(5.0)).cast("int"), F.pmod("l_linenumber", F.lit(5)).cast("int")).alias("dims"))

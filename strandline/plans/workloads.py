@@ -1,10 +1,15 @@
-"""Grids of searches and miners, as lists of settings."""
+"""Grids of searches and miners, as lists of settings, and what runs them."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
-from ..streaming.searcher import Search
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.outliers import stream_miner
+from ..streaming.searcher import Search, search_stream
 
 WIDTHS = (1, 2, 5, 10, 20, 50, 100)
 ETAS = tuple(round(0.1 * i, 1) for i in range(1, 10))
@@ -47,3 +52,24 @@ def miner_grid() -> list[dict]:
 
 
 WORKLOADS = {"searches": searches, "step": step_grid, "gold": gold, "width": width_grid, "runtime": runtime_grid, "scaling": scaling_grid, "miners": miner_grid}
+
+
+def run_searches(stream: DataFrame, settings: list[Search]) -> DataFrame:
+    """stream (stream, row_id, columns): the states of each setting's search, with
+    run (its id and seed)."""
+    each = [search_stream(stream, how).withColumn("run", F.lit(f"{how.id}-{how.eta}-{how.seed}")) for how in settings]
+    return reduce(DataFrame.unionByName, each)
+
+
+def run_miners(wide: DataFrame, settings: list[dict]) -> DataFrame:
+    """(run, row_id, score) of each setting's miner over the full space."""
+    each = [stream_miner(wide, **how).withColumn("run", F.lit("-".join(str(v) for v in how.values()))) for how in settings]
+    return reduce(DataFrame.unionByName, each)
+
+
+def run_workload(name: str, rows: DataFrame, **options) -> DataFrame:
+    """Run a grid by its name: over a stream, or for miners over a matrix."""
+    if name not in WORKLOADS:
+        raise ValueError(f"no workload {name}")
+    settings = WORKLOADS[name](**options)
+    return run_miners(rows, settings) if name == "miners" else run_searches(rows, settings)

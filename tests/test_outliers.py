@@ -16,3 +16,39 @@ def test_lof_beyond_window(spark, monkeypatch):
         want = np.mean([outliers.lof_np(x[:, s], 10) for s in sets or [[0, 1, 2]]], axis=0)
         assert len(got) == len(x)
         assert all(abs(got[i * 3] - v) < 1e-9 for i, v in enumerate(want))
+
+
+def test_searching_miner_and_log(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 3))
+    x[:, 1] = x[:, 0] + 0.01 * r.normal(size=60)
+    x[7, 1] += 3
+    wide = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "row_id long, x0 double, x1 double, x2 double")
+    for preset in outliers.PRESETS:
+        search = {} if preset == "full" else {"m": 10}
+        got = {row.row_id: row.score for row in outliers.searching_miner(wide, preset, 10, **search).collect()}
+        assert len(got) == 60 and (preset == "full" or max(got, key=got.get) == 7)
+    labels = wide.select("row_id", (F.col("row_id") == 7).cast("int").alias("y"))
+    assert outliers.searching_miner(wide, "greedy", 10, labels, m=10).head().roc_auc == 1.0
+    log = spark.range(41).select(F.col("id").alias("step"), F.array(F.struct(F.array(F.lit(1), F.lit(0)).alias("dims"), F.lit(0.5).alias("score"))).alias("subspaces"))
+    got = {row.row_id: row.score for row in outliers.logged_miner(wide, log, 20, 20, k=5).collect()}
+    want = np.concatenate([outliers.lof_np(x[a : a + 20, :2], 5) for a in (0, 20, 40)])
+    assert all(abs(got[i] - v) < 1e-9 for i, v in enumerate(want))
+    try:
+        outliers.logged_miner(wide, log.limit(40), 20, 20)
+    except ValueError:
+        return
+    raise AssertionError("a log of another length was taken")
+
+
+def test_workload_runner(spark):
+    from strandline.plans import workloads
+
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(r.normal(size=(30, 3)))], "stream string, row_id long, x0 double, x1 double, x2 double")
+    out = workloads.run_workload("runtime", rows, m=2, window=20)
+    assert {x.run for x in out.select("run").distinct().collect()} == {f"{s.id}-{s.eta}-{s.seed}" for s in workloads.runtime_grid(2, 20)}
+    mined = workloads.run_miners(rows.drop("stream"), [{"detector": "hash", "size": 20, "step": 10}, {"detector": "lof", "k": 5, "size": 20, "step": 10}])
+    assert mined.count() == 60
