@@ -308,7 +308,10 @@ def _keep_clean(indexes: list[Index], column: str, batches: Iterator[pa.RecordBa
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, options: Decontamination = Decontamination()) -> DataFrame:
-    """The rows that hold no test item, with the columns they came with."""
+    """The rows that hold no test item, with the columns they came with, whatever
+    their names. Each row is judged for itself, so repeated rows and null ids are
+    no special case; null and empty texts hold nothing and are kept; without test
+    items, or with null and empty ones alone, every row is kept."""
     for indexes in build_indexes(items, options):
         docs = docs.mapInArrow(partial(_keep_clean, indexes, "text"), docs.schema)
     return docs

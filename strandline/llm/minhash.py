@@ -531,7 +531,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """The first row of each component, with the columns it came with."""
+    """The first row of each component, with the columns it came with, whatever
+    their names. Rows without words (null or empty texts) are kept, each for
+    itself; of rows that repeat one is kept; where doc_id repeats or is null rows
+    go by (doc_id, nulls first; text). An empty table gives none."""
     rows, _ = keyed_rows(docs, carry=True)
     late = component_roots(rows.select("rid", "text"), forest).where("rid <> root").select("rid")
     return rows.join(late, "rid", "left_anti").select("row.*")
