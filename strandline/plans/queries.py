@@ -3,6 +3,7 @@ gives the same rows in another engine."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..functions.draws import MODULUS, draw, draw_sql
 from ..functions.kernels import REF_KEY
 from ..operators import dataset, dependence, metrics, monitor, outliers, ranks, report, search
 from ..sources import matrix
-from ..streaming import policies, searcher
+from ..streaming import indexes, policies, searcher
 from .tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +223,39 @@ def rank_index_sliding(spark, sf_dir):
     return ranks.rank_index(rows, ("window",)).select("window", "row_id", "v", "rk", "n")
 
 
+INDEX_WINDOW, INDEX_STEP = 20, 10
+STREAMED = f"""e AS (SELECT (user_id % 20)::VARCHAR AS stream, 0 AS dim, event_id, value::DOUBLE AS v FROM events
+  UNION ALL SELECT (user_id % 20)::VARCHAR, 1, event_id, (user_id % 7 + floor(value / 10))::DOUBLE FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY stream, dim ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY stream, dim) AS total FROM e),
+s AS (SELECT stream, dim, unnest(range(0, total - {INDEX_WINDOW} + 1, {INDEX_STEP})) AS lo FROM (SELECT DISTINCT stream, dim, total FROM p)),
+w AS (SELECT p.stream, p.dim, lo, lo + {INDEX_WINDOW} - 1 AS upto, place - lo AS pos, v AS value,
+  count(*) OVER (PARTITION BY p.stream, p.dim, lo, v) AS ties, rank() OVER (PARTITION BY p.stream, p.dim, lo ORDER BY v) - 1 AS below,
+  row_number() OVER (PARTITION BY p.stream, p.dim, lo, v ORDER BY place) AS nth FROM p JOIN s USING (stream, dim) WHERE place >= lo AND place < lo + {INDEX_WINDOW})"""
+
+
+def _streamed(spark, sf_dir) -> DataFrame:
+    """Two columns of the events of each of twenty groups of users, as streams."""
+    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(20)).cast("string").alias("stream"), F.col("event_id").alias("row_id"), "user_id", F.col("value").cast("double").alias("value"))
+    cells = F.array(F.struct(F.lit(0).alias("dim"), F.col("value").alias("v")), F.struct(F.lit(1).alias("dim"), (F.pmod("user_id", F.lit(7)) + F.floor(F.col("value") / 10)).cast("double").alias("v")))
+    return e.select("stream", "row_id", F.inline(cells))
+
+
+@query(f"WITH {STREAMED} SELECT stream, dim, upto, pos, value, (below + nth - 1)::DOUBLE AS rk FROM w")
+def stream_index_ranks(spark, sf_dir):
+    return indexes.index_stream(_streamed(spark, sf_dir), INDEX_WINDOW, INDEX_STEP, "n").drop("correction", "ties")
+
+
+@query(f"""WITH {STREAMED} SELECT stream, dim, upto, pos, value, below + (ties - 1) / 2.0::DOUBLE AS rk,
+sum(CASE WHEN nth = 1 THEN ties::DOUBLE * ties * ties - ties ELSE 0 END) OVER (PARTITION BY stream, dim, lo ORDER BY value) AS correction, ties FROM w""")
+def stream_index_corrected(spark, sf_dir):
+    return indexes.index_stream(_streamed(spark, sf_dir), INDEX_WINDOW, INDEX_STEP, "o")
+
+
+@query(f"WITH {STREAMED} SELECT stream, dim, upto, pos, value, (dense_rank() OVER (PARTITION BY stream, dim, lo ORDER BY value) - 1)::DOUBLE AS rk, ties FROM w")
+def stream_index_counts(spark, sf_dir):
+    return indexes.index_stream(_streamed(spark, sf_dir), INDEX_WINDOW, INDEX_STEP, "c").drop("correction")
+
+
 @query(f"""WITH {VECTORS}, {its(M)} SELECT dim, it, row_id FROM r, it WHERE rk >= {start_sql('100')} AND rk < {start_sql('100')} + 100""")
 def slice_numeric(spark, sf_dir):
     return ranks.numeric_slice(ranks.rank_index(long(spark, sf_dir)), 100, M, SEED).where("inside").select("dim", "it", "row_id")
@@ -776,8 +810,54 @@ def _bandit(name: str):
     return run
 
 
+#: The index by which an arm is chosen, from what it gained (s), how often it
+#: was pulled (c), the step (t) and its reward (x), where nothing is drawn.
+_BEST = {
+    "cucb": "s / c + sqrt(1.5 * ln(t) / c)",
+    "cucbm": "s / c + sqrt(0.5 * ln(t) / c)",
+    "mpducb": "CASE WHEN t >= 1 THEN s / c + sqrt(1.5 * ln(t) / c) ELSE s / c END",
+    "mpklucb": "kl_index(s, c, t)",
+    "mpklucbplus": "kl_index(s, c, t / c)",
+    "dynamic": "x",
+    "worst": "-x",
+    "static": "all_x",
+    "sequential": "-((a - pulled) % 3 + 3) % 3",
+}
+
+
+def _kl_index(s: str, c: str, log_of: str) -> str:
+    """The halving as a fold: a step goes ahead by half the width where that fits."""
+    p, q = f"greatest({s} / {c}, 1e-8)", "(near + width)"
+    fits = f"{p} * ln({p} / {q}) + (1 - {p}) * ln((1 - {p}) / (1 - {q})) <= ln(greatest({log_of}, 1)) / {c}"
+    halves = f"[(1 - 1e-8 - {p}) / pow(2, i) FOR i IN range(1, 61)]"
+    return f"CASE WHEN {p} >= 1 THEN 1 ELSE list_reduce(list_concat([{p}], {halves}), lambda near, width: CASE WHEN {fits} THEN {q} ELSE near END) END"
+
+
+def _policy_sql(name: str) -> str:
+    """A policy without draws, step by step: sums and counts of three arms as lists."""
+    index = _BEST[name]
+    if name.startswith("mpklucb"):
+        index = _kl_index("s", "c", "t / c" if name.endswith("plus") else "t")
+    after = "0.9 * t + 1" if name == "mpducb" else "t + 1"
+    return f"""WITH RECURSIVE {STREAM}, x AS (SELECT t AS step, list(reward ORDER BY arm) AS xs FROM g GROUP BY t),
+al AS (SELECT list(total ORDER BY arm) AS alls FROM (SELECT arm, sum(reward) AS total FROM g GROUP BY arm)),
+run AS (SELECT -1::BIGINT AS step, 2::BIGINT AS k, 1::DOUBLE AS t, [1, 1, 1]::DOUBLE[] AS ss, [1, 1, 1]::DOUBLE[] AS cs, 0::BIGINT AS pulled,
+    []::INT[] AS arms, []::DOUBLE[] AS gains, 0::BIGINT AS pulls
+  UNION ALL SELECT step, CASE WHEN eff <= 0.3 THEN greatest(least(1, pulls), pulls - 1) WHEN pulls >= 3 THEN pulls
+      WHEN pulls / (pulls + 1) * eff + list_reverse_sort([{_kl_index('s2[i]', 'c2[i]', 'greatest(t2, 1)')} FOR i IN [1, 2, 3]])[pulls + 1] / (pulls + 1) > 0.3 THEN pulls + 1 ELSE pulls END,
+    t2, s2, c2, pulled + pulls, picked, gains, pulls FROM
+    (SELECT *, list_avg([s2[a + 1] / c2[a + 1] FOR a IN picked]) AS eff, {after} AS t2, [xs[a + 1] FOR a IN picked] AS gains FROM
+      (SELECT *, [ss[a + 1] + CASE WHEN list_contains(picked, a) THEN xs[a + 1] ELSE 0 END FOR a IN [0, 1, 2]] AS s2, [cs[a + 1] + list_contains(picked, a)::INT FOR a IN [0, 1, 2]] AS c2 FROM
+        (SELECT step, t, ss, cs, xs, pulled, k AS pulls, ([o.a FOR o IN list_sort([{{'i': -o.i, 'a': o.a}} FOR o IN ix])])[1:k] AS picked FROM
+          (SELECT x.step, k, t, ss, cs, xs, pulled, [{{'i': ({re.sub(r"[a-z_]+", lambda m: _PER_ARM.get(m.group(), m.group()), index)})::DOUBLE, 'a': a}} FOR a IN [0, 1, 2]] AS ix
+           FROM run JOIN x ON x.step = run.step + 1, al)))))
+SELECT '{name}' AS policy, rep::INT AS rep, step::INT AS t, arms, gains, list_sum(gains) AS gain, pulls::INT AS k FROM run, (SELECT unnest([0, 1]) AS rep) WHERE step >= 0"""
+
+
+_PER_ARM = {"s": "ss[a + 1]", "c": "cs[a + 1]", "x": "xs[a + 1]", "all_x": "alls[a + 1]"}
+
 for _name in (*policies.POLICIES, *policies.ADAPTIVE):
-    query()(_bandit(_name))
+    query(_policy_sql(_name) if _name in _BEST else None)(_bandit(_name))
 
 
 @query()
