@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import MODULUS, draw, draw_sql
-from ..functions.kernels import REF_KEY
+from ..functions.kernels import REF_KEY, slice_size
 from ..operators import dataset, dependence, metrics, monitor, outliers, ranks, report, search
 from ..sources import matrix
 from ..streaming import indexes, policies, searcher
@@ -464,33 +464,74 @@ def mwp_ties(spark, sf_dir):
     return _rounded(dependence.subspace_score(index, table(spark, sf_dir, "events").count(), [0, 1], 1, "mwp", 5, seed=SEED))
 
 
-@query(f"""WITH {MIXED}, {its(5)}, {MIXED_SLICE}, p AS (SELECT it, v, count(*) AS t, sum(inside::BIGINT) AS o FROM r JOIN x USING (row_id) WHERE dim = 2 GROUP BY it, v),
+CSP_ROWS = """p AS (SELECT it, v, count(*) AS t, sum(inside::BIGINT) AS o FROM r JOIN x USING (row_id) WHERE dim = 2 GROUP BY it, v),
 w AS (SELECT *, sum(t) OVER (PARTITION BY it) AS n, sum(o) OVER (PARTITION BY it) AS n1 FROM p),
 u AS (SELECT it, count(*) AS c, max(n) AS n, max(n1) AS n1, sum((o - t * n1 / n) ** 2 / (t * n1 / n) + (t - o - t * (n - n1) / n) ** 2 / (t * (n - n1) / n)) AS chi FROM w GROUP BY it),
-h AS (SELECT *, (c - 1) / 2.0 AS a, chi / 2 AS h FROM u)
-SELECT round(avg(CASE WHEN c = 1 THEN 0.0 WHEN n1 = 0 OR n1 = n THEN 1.0 WHEN h > a + 40 * sqrt(a) + 60 THEN 1.0
-  ELSE least(1.0, list_sum([exp((a + k) * ln(h) - h - lgamma(a + k + 1)) FOR k IN range(0, 400)])) END), 6) AS score FROM h""")
+h AS (SELECT *, (c - 1) / 2.0 AS a, chi / 2 AS h FROM u),
+c_scores AS (SELECT it, CASE WHEN c = 1 THEN 0.0 WHEN n1 = 0 OR n1 = n THEN 1.0 WHEN h > a + 40 * sqrt(a) + 60 THEN 1.0
+  ELSE least(1.0, list_sum([exp((a + k) * ln(h) - h - lgamma(a + k + 1)) FOR k IN range(0, 400)])) END AS score FROM h)"""
+
+
+@query(f"WITH {MIXED}, {its(5)}, {MIXED_SLICE}, {CSP_ROWS} SELECT round(avg(score), 6) AS score FROM c_scores")
 def csp_pvalue(spark, sf_dir):
     """The categorical column against a slice of the numeric one."""
     index = ranks.corrected_index(mixed(spark, sf_dir))
     return _rounded(dependence.subspace_score(index, table(spark, sf_dir, "events").count(), [0, 2], 2, "csp", 5, seed=SEED))
 
 
-@query()
+MCDEP_SLICES = f"""o0 AS (SELECT DISTINCT dim, it, n, {start_sql(SIZE3)} AS cut FROM r, it WHERE dim = 1),
+{safe_sql('o0', 'c.it, c.n', 'o1')}, o2 AS (SELECT dim, it, n, safe AS a, least(safe + {SIZE3}, n - 1) AS cut FROM o1), {safe_sql('o2', 'c.it, c.a', 'o3')},
+sl AS (SELECT dim, it, row_id, rk >= {start_sql(SIZE3)} AND rk < {start_sql(SIZE3)} + {SIZE3} AS inside FROM r, it WHERE dim = 0
+  UNION ALL SELECT r.dim, it, row_id, row_number() OVER (PARTITION BY it ORDER BY CASE WHEN rk >= a AND rk < safe THEN 0 ELSE 1 END, {draw_sql(SEED + 1, 'it', 'row_id')}, row_id) <= {SIZE3} FROM r JOIN o3 USING (dim)
+  UNION ALL SELECT dim, it, row_id, row_number() OVER (PARTITION BY it ORDER BY CASE WHEN turn <= least(greatest(floor(n_cat * {SIZE3} / n), 1), n_cat - 1) THEN 0 ELSE 1 END,
+    {draw_sql(SEED + 1, 'it', 'row_id')}, row_id) <= {SIZE3} FROM r JOIN turns USING (v) WHERE dim = 2),
+x AS (SELECT it, row_id, {draw_sql(SEED, 'it', REF_KEY)} % 3 AS ref, bool_and(inside OR dim = ref) AS inside FROM sl GROUP BY it, row_id)"""
+
+
+@query(f"""WITH {MIXED}, {its(5)}, {BOUNDS}, {CATEGORIES}, {MCDEP_SLICES}, {MWP_ROWS.format(ref=1).replace(BOUNDS + ',', '').replace('scores AS', 'o_scores AS')},
+tested AS (SELECT x.it, rk, n, inside FROM x JOIN r USING (row_id) WHERE dim = 0), {ks_sql('tested', 'it', True).replace('scores AS', 'n_scores AS')}, {CSP_ROWS}
+SELECT round(avg(score), 6) AS score FROM (SELECT 0 AS ref, * FROM n_scores UNION ALL SELECT 1, * FROM o_scores UNION ALL SELECT 2, * FROM c_scores) JOIN (SELECT DISTINCT it, ref FROM x) USING (it, ref)""")
 def mcdep_mixed(spark, sf_dir):
     """Contrast of columns of three kinds, each by its own test and slice."""
     index = materialize(ranks.corrected_index(mixed(spark, sf_dir)), "index")
     return _rounded(dependence.subspace_score(index, table(spark, sf_dir, "events").count(), [0, 1, 2], None, "mcdep", 5, seed=SEED, kinds=KINDS))
 
 
-@query()
+CONTRAST_WINDOW, CONTRAST_STEP = 100, 20
+CONTRAST_SETS = [[0, 1], [2, 3, 4]]
+
+
+def _contrast_sql(sets: list[list[int]], carried: bool) -> str:
+    """Fresh contrasts of the windows at 0 and 1, 1 + step, ...; smoothed at each
+    of them and carried on, or smoothed at every position with the latest one."""
+    w, step, m = CONTRAST_WINDOW, CONTRAST_STEP, 10
+    each = ", ".join(f"{{'subspace': {i}, 'dims': {dims}, 'size': {slice_size(w, 0.5, len(dims))}}}" for i, dims in enumerate(sets))
+    at = start_sql("size")
+    fresh = f"""{VECTORS.split('r AS')[0]} {its(m)}, ps AS (SELECT unnest(range(0, max(row_id) + {2 - w})) AS position FROM e),
+ss AS (SELECT o.subspace, o.dims, o.size FROM (SELECT unnest([{each}]) AS o)),
+wr AS (SELECT position, dim, row_id, row_number() OVER (PARTITION BY position, dim ORDER BY v, row_id) - 1 AS rk, {w} AS n
+  FROM e JOIN ps ON row_id >= position AND row_id < position + {w} WHERE position = 0 OR (position - 1) % {step} = 0),
+xs AS (SELECT subspace, position, it, row_id, dims[{draw_sql(SEED, 'it', REF_KEY)} % len(dims) + 1] AS ref, bool_and(dim = ref OR (rk >= {at} AND rk < {at} + size)) AS inside
+  FROM wr JOIN ss ON list_contains(dims, dim), it GROUP BY subspace, position, it, row_id, ref),
+tested AS (SELECT subspace, xs.position, it, rk, n, inside FROM xs JOIN wr ON wr.position = xs.position AND wr.row_id = xs.row_id AND dim = ref),
+{ks_sql('tested', 'subspace, position, it', True)}, fr AS (SELECT subspace, position, avg(score) AS fresh FROM scores GROUP BY subspace, position)"""
+    smoothed = """o AS (SELECT *, row_number() OVER (PARTITION BY subspace ORDER BY position) AS k FROM {rows}),
+sm AS (SELECT subspace, position, k, fresh AS score FROM o WHERE k = 1
+  UNION ALL SELECT o.subspace, o.position, o.k, 0.9 * score + 0.1 * fresh FROM sm JOIN o ON o.subspace = sm.subspace AND o.k = sm.k + 1)"""
+    latest = "SELECT subspace, ps.position, {value} FROM (SELECT * FROM ps, (SELECT subspace FROM ss)) ps ASOF JOIN {rows} f USING (subspace, position)"
+    if carried:
+        return f"WITH RECURSIVE {fresh}, {smoothed.format(rows='fr')} {latest.format(value='round(score, 6) AS score', rows='sm')}"
+    return f"WITH RECURSIVE {fresh}, la AS ({latest.format(value='fresh', rows='fr')}), {smoothed.format(rows='la')} SELECT subspace, position, round(score, 6) AS score FROM sm"
+
+
+@query(_contrast_sql([list(range(D))], False))
 def stream_contrast_ewma(spark, sf_dir):
-    return _rounded(searcher.stream_contrast(full(spark, sf_dir), 100, 20, m=10))
+    return _rounded(searcher.stream_contrast(full(spark, sf_dir), CONTRAST_WINDOW, CONTRAST_STEP, m=10))
 
 
-@query()
+@query(_contrast_sql(CONTRAST_SETS, True))
 def stream_contrast_multi(spark, sf_dir):
-    return _rounded(searcher.stream_contrast(wide(spark, sf_dir), 100, 20, [[0, 1], [2, 3, 4]], m=10))
+    return _rounded(searcher.stream_contrast(wide(spark, sf_dir), CONTRAST_WINDOW, CONTRAST_STEP, CONTRAST_SETS, m=10))
 
 
 # -- searches --------------------------------------------------------------------------------------------
