@@ -45,3 +45,25 @@ reach AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+#: The least capacity by halving: a fold over seven shards fills greedily from
+#: the list of running sums. CRC-32 goes byte by byte through its table.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, text AS given FROM documents),
+tb AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS t FROM range(0, 256) r(n)),
+hx AS (SELECT DISTINCT text, hex(encode(text)) AS h FROM d),
+cr AS (SELECT text, length(h) // 2 AS n, xor(list_reduce(list_concat([4294967295]::BIGINT[], [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(h) // 2)]),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM hx, tb),
+k AS (SELECT doc_id, given, text, n + 1 AS size, crc, row_number() OVER (ORDER BY doc_id NULLS FIRST, given NULLS FIRST) AS rid FROM d JOIN cr USING (text)),
+g AS (SELECT text, min(rid) AS first, sum(size)::BIGINT AS size FROM k GROUP BY text),
+o AS (SELECT *, (sum(size) OVER (ORDER BY first))::BIGINT AS upto FROM g),
+u AS (SELECT list(upto ORDER BY upto) AS ends, max(upto) AS total, max(size) AS most FROM o),
+b AS (SELECT greatest((total + 7) // 8, most) AS lo, (total + 7) // 8 + most AS hi FROM u
+  UNION ALL SELECT CASE WHEN fits THEN lo ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE hi END FROM
+    (SELECT lo, hi, mid, list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda done, i: list_max([0] || [x FOR x IN ends IF x <= done + mid])) + mid >= total AS fits
+     FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM b WHERE lo < hi), u)),
+c AS (SELECT lo AS capacity FROM b WHERE lo = hi),
+cuts AS (SELECT DISTINCT list_reduce(list_concat([0]::BIGINT[], range(0, j)), lambda done, i: list_max([0] || [x FOR x IN ends IF x <= done + capacity])) AS cut, total FROM c, u, range(1, 8) r(j)),
+p AS (SELECT text, first, (SELECT count(*) FROM cuts WHERE cut < total AND cut <= upto - size)::INT AS shard FROM o)
+SELECT doc_id, k.size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first, rid) - 1 AS slot, NULL::INT AS grown_shard FROM k JOIN p USING (text)
+"""
