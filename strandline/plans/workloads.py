@@ -8,7 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.outliers import stream_miner
+from ..operators.metrics import evaluate
+from ..operators.outliers import logged_miner, stream_miner
 from ..streaming.searcher import Search, search_stream
 
 WIDTHS = (1, 2, 5, 10, 20, 50, 100)
@@ -51,7 +52,19 @@ def miner_grid() -> list[dict]:
     return [{"detector": "hash", "size": 1000, "step": 100}, *[{"detector": "lof", "k": k, "size": 1000, "step": 100} for k in WIDTHS]]
 
 
-WORKLOADS = {"searches": searches, "step": step_grid, "gold": gold, "width": width_grid, "runtime": runtime_grid, "scaling": scaling_grid, "miners": miner_grid}
+def repeats(m: int = 100, window: int = 1000, reps: int = 10) -> list[Search]:
+    """The searches that draw, under several seeds."""
+    return repeated([s for s in searches(m, window) if s.policy in ("random", "mpts")], reps)
+
+
+def adwin_grid(m: int = 100, window: int = 1000) -> list[Search]:
+    return scaling_grid(m, window, adwin_only=True)
+
+
+WORKLOADS = {
+    "searches": searches, "step": step_grid, "gold": gold, "width": width_grid, "runtime": runtime_grid, "repeats": repeats,
+    "scaling": scaling_grid, "scaling_adwin": adwin_grid, "miners": miner_grid, "logged_miners": miner_grid,
+}
 
 
 def run_searches(stream: DataFrame, settings: list[Search]) -> DataFrame:
@@ -67,9 +80,26 @@ def run_miners(wide: DataFrame, settings: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def run_workload(name: str, rows: DataFrame, **options) -> DataFrame:
+def run_logged_miners(wide: DataFrame, log: DataFrame, settings: list[dict], labels: DataFrame | None = None) -> DataFrame:
+    """(run, row_id, score) of each setting's miner in the subspaces that a log
+    (step, subspaces) holds, also one of a search done elsewhere; with labels
+    (row_id, y) a row of measures for each run instead."""
+    each = []
+    for how in settings:
+        scored = logged_miner(wide, log, **how)
+        if labels is not None:
+            scored = evaluate(scored.join(labels, "row_id").select("row_id", "score", "y"))
+        each.append(scored.withColumn("run", F.lit("-".join(str(v) for v in how.values()))))
+    return reduce(DataFrame.unionByName, each)
+
+
+def run_workload(name: str, rows: DataFrame, log: DataFrame | None = None, labels: DataFrame | None = None, **options) -> DataFrame:
     """Run a grid by its name: over a stream, or for miners over a matrix."""
     if name not in WORKLOADS:
         raise ValueError(f"no workload {name}")
+    if (log is None) == (name == "logged_miners"):
+        raise ValueError("logged miners, and no other workload, read a log")
     settings = WORKLOADS[name](**options)
+    if name == "logged_miners":
+        return run_logged_miners(rows, log, settings, labels)
     return run_miners(rows, settings) if name == "miners" else run_searches(rows, settings)

@@ -37,6 +37,40 @@ def read_csv_matrix(spark: SparkSession, path: str, header: int = 1, sep: str =
     return sample_rows(out) if sample else out
 
 
+def column_names(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Names of a CSV's or ARFF's columns, as its head gives them."""
+    if path.endswith(".arff"):
+        return arff_names(path)
+    first = _numbered_lines(spark, path).where("row_id = 0").head()
+    return [] if first is None else [x.strip() for x in first.value.split(sep)]
+
+
+def read_typed_csv(spark: SparkSession, path: str, types: dict[str, str], sep: str = ",", null: str = "NULL") -> DataFrame:
+    """A CSV with a header line, its columns by name: those in `types` as the
+    given type, the others as text. Cells that read `null` are null; a column
+    that the file lacks and a cell that isn't of its type raise."""
+    df = spark.read.csv(path, header=True, sep=sep, nullValue=null)
+    if lacking := sorted(set(types) - set(df.columns)):
+        raise ValueError(f"{path} has no columns {lacking}")
+    plain = lambda c: F.col(f"`{c}`")
+    return df.select(*[plain(c).cast(types[c]).alias(c) if c in types else plain(c) for c in df.columns])
+
+
+def read_index(spark: SparkSession, path: str, test: str = "ksp", **options) -> tuple[DataFrame, int]:
+    """A file's matrix as the index that a test reads, written once, and its
+    number of rows."""
+    from ..operators.dataset import row_count, to_long
+    from ..operators.dependence import ESTIMATORS
+    from ..operators.ranks import corrected_index, rank_index
+    from ..plans.tables import materialize
+
+    if test not in (*ESTIMATORS, "ks"):
+        raise ValueError(f"no test {test}")
+    wide = read_matrix(spark, path, **options)
+    build = rank_index if test in ("ks", "ksp") else corrected_index
+    return materialize(build(to_long(wide)), "index"), row_count(wide)
+
+
 def read_labels(spark: SparkSession, path: str, header: int = 1, sep: str = ",") -> DataFrame:
     """(row_id, is_outlier): the last column is above 0; CSV or ARFF."""
     if path.endswith(".arff"):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import kernels
+from ..functions.timing import Spent
 from ..operators.dataset import dims_of, row_count, windows_of
 from .policies import Policy, Scaling
 
@@ -99,7 +100,8 @@ def selector(name: str, d: int, n: int = 1, threshold: float = 0.0, eta: float =
 class Search:
     """test, m, alpha, beta: of the estimator. gamma: weight of the old score.
     window, step: rows. monitor: whether scores follow every row, not only
-    steps. policy, n: the selector."""
+    steps. policy, n: the selector. timings: whether states tell the seconds of
+    each row's index, monitoring, decision and search."""
 
     test: str = "ksp"
     m: int = 20
@@ -115,6 +117,7 @@ class Search:
     step: int = 10
     monitor: bool = True
     seed: int = 1
+    timings: bool = False
 
     @property
     def id(self) -> str:
@@ -133,6 +136,7 @@ class Monitor:
     smooth: list = field(default_factory=list)
     count: int = 1
     chooser: Selector | None = None
+    spent: Spent = field(default_factory=Spent)
 
     def _index(self) -> kernels.WindowIndex:
         return kernels.WindowIndex(np.array(self.rows))
@@ -147,13 +151,17 @@ class Monitor:
     def push(self, row) -> tuple[list, list[float], list[int], int] | None:
         """Take a row; (subspaces, scores, columns searched, searches that found
         another and better subspace), or nothing while the window fills."""
-        h = self.how
+        h, on = self.how, self.spent.on
+        self.spent.update(dict.fromkeys(STEPS, 0.0))
         self.rows.append(tuple(float(x) for x in row))
         if len(self.rows) < h.window:
             return None
         if not self.kept:
-            index, d = self._index(), len(row)
-            got = [self._grow(index, r) for r in range(d)]
+            d = len(row)
+            with on("index"):
+                index = self._index()
+            with on("search"):
+                got = [self._grow(index, r) for r in range(d)]
             self.kept, self.found = [g[0] for g in got], [g[1] for g in got]
             self.smooth = list(self.found)
             self.chooser = selector(h.policy, d, h.n, h.threshold, h.eta, h.delta, h.seed)
@@ -162,14 +170,19 @@ class Monitor:
         searched, success = [], 0
         due = self.count % h.step == 0
         if due or h.monitor:
-            index = self._index()
-            now = [self._score(index, s, r) if len(s) > 1 else 0.0 for r, s in enumerate(self.kept)]
+            with on("index"):
+                index = self._index()
+            with on("monitor"):
+                now = [self._score(index, s, r) if len(s) > 1 else 0.0 for r, s in enumerate(self.kept)]
             self.smooth = [h.gamma * a + (1 - h.gamma) * b for a, b in zip(self.smooth, now, strict=True)]
         if due:
-            searched = self.chooser.select(self.found)
-            got = [self._grow(index, r) for r in searched]
+            with on("decision"):
+                searched = self.chooser.select(self.found)
+            with on("search"):
+                got = [self._grow(index, r) for r in searched]
             if searched:
-                self.chooser.observe(searched, [g[1] for g in got], [self.smooth[r] for r in searched])
+                with on("decision"):
+                    self.chooser.observe(searched, [g[1] for g in got], [self.smooth[r] for r in searched])
             for r, (dims, score) in zip(searched, got, strict=True):
                 success += score > self.smooth[r] and dims != self.kept[r]
                 self.kept[r], self.found[r], self.smooth[r] = dims, score, score
@@ -179,16 +192,17 @@ class Monitor:
 
 STATE_ROW = "stream string, row_id long, subspaces array<array<int>>, scores array<double>, searched array<int>, success int"
 _COLUMNS = ["stream", "row_id", "subspaces", "scores", "searched", "success"]
+STEPS = ("index", "monitor", "decision", "search")
 
 
 def _advance(monitor: Monitor, stream: str, frame: pd.DataFrame, cols: list[str]) -> pd.DataFrame:
     frame = frame.sort_values("row_id")
-    out = []
+    out, times = [], STEPS if monitor.how.timings else ()
     for row_id, row in zip(frame["row_id"], frame[cols].to_numpy(float), strict=True):
         got = monitor.push(row)
         if got:
-            out.append((stream, int(row_id), [list(s) for s in got[0]], got[1], got[2], int(got[3])))
-    return pd.DataFrame(out, columns=_COLUMNS)
+            out.append((stream, int(row_id), [list(s) for s in got[0]], got[1], got[2], int(got[3]), *[monitor.spent[x] for x in times]))
+    return pd.DataFrame(out, columns=[*_COLUMNS, *times])
 
 
 def search_stream(rows: DataFrame, how: Search = Search()) -> DataFrame:
@@ -199,8 +213,9 @@ def search_stream(rows: DataFrame, how: Search = Search()) -> DataFrame:
     micro-batch rows are put in order; later ones than their successors join at
     the end."""
     cols = [c for c in rows.columns if c not in ("stream", "row_id")]
+    schema = ", ".join([STATE_ROW, *[f"{x} double" for x in STEPS if how.timings]])
     if not rows.isStreaming:
-        return rows.groupBy("stream").applyInPandas(lambda f: _advance(Monitor(how), str(f["stream"].iloc[0]), f, cols), STATE_ROW)
+        return rows.groupBy("stream").applyInPandas(lambda f: _advance(Monitor(how), str(f["stream"].iloc[0]), f, cols), schema)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         monitor = pickle.loads(state.get[0]) if state.exists else Monitor(how)
@@ -208,7 +223,7 @@ def search_stream(rows: DataFrame, how: Search = Search()) -> DataFrame:
         state.update((pickle.dumps(monitor),))
         yield out
 
-    return rows.groupBy("stream").applyInPandasWithState(step, STATE_ROW, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
 # -- contrast over a stream ---------------------------------------------------------------------

@@ -52,3 +52,23 @@ def test_workload_runner(spark):
     assert {x.run for x in out.select("run").distinct().collect()} == {f"{s.id}-{s.eta}-{s.seed}" for s in workloads.runtime_grid(2, 20)}
     mined = workloads.run_miners(rows.drop("stream"), [{"detector": "hash", "size": 20, "step": 10}, {"detector": "lof", "k": 5, "size": 20, "step": 10}])
     assert mined.count() == 60
+
+
+def test_logged_workload(spark):
+    """Miners over a log of subspaces, scored or measured; other names refuse one."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from strandline.plans import workloads
+
+    x = np.random.default_rng(6).normal(size=(40, 2))
+    x[11] += 9
+    wide = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "row_id long, x0 double, x1 double")
+    log = spark.range(21).select(F.col("id").alias("step"), F.array(F.struct(F.array(F.lit(0), F.lit(1)).alias("dims"), F.lit(0.5).alias("score"))).alias("subspaces"))
+    settings = [{"detector": "lof", "k": k, "size": 20, "step": 20} for k in (3, 5)]
+    assert workloads.run_logged_miners(wide, log, settings).groupBy("run").count().orderBy("run").collect() == [("lof-3-20-20", 40), ("lof-5-20-20", 40)]
+    labels = wide.select("row_id", (F.col("row_id") == 11).cast("int").alias("y"))
+    assert [r.roc_auc for r in workloads.run_logged_miners(wide, log, settings, labels).collect()] == [1.0, 1.0]
+    for name, given in (("logged_miners", None), ("miners", log), ("none", None)):
+        with pytest.raises(ValueError):
+            workloads.run_workload(name, wide, given)

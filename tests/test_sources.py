@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import dataset, outliers, report, search
+from strandline.functions.timing import timed
+from strandline.operators import dataset, dependence, outliers, report, search
 from strandline.sources import matrix
 
 
@@ -26,6 +27,37 @@ def test_csv(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).columns == ["1", "2"]
 
 
+def test_typed_csv_and_names(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("name,n,a.b\nx,1,0.5\nNULL,2,NULL\n")
+    df = matrix.read_typed_csv(spark, str(p), {"n": "int", "a.b": "double"})
+    assert [t for _, t in df.dtypes] == ["string", "int", "double"]
+    assert [tuple(r) for r in df.orderBy("n").collect()] == [("x", 1, 0.5), (None, 2, None)]
+    assert matrix.column_names(spark, str(p)) == ["name", "n", "a.b"]
+    with pytest.raises(ValueError):
+        matrix.read_typed_csv(spark, str(p), {"m": "int"})
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        matrix.read_typed_csv(spark, str(p), {"name": "int"}).collect()
+
+
+def test_index_of_a_file(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("a,b\n" + "".join(f"{i},{i // 3}\n" for i in range(30)))
+    index, n = matrix.read_index(spark, str(p), "mwp")
+    assert n == 30 and {"rk", "adj", "correction"} <= set(index.columns) and index.count() == 60
+    index, n = matrix.read_index(spark, str(p))
+    assert dependence.subspace_score(index, n, [0, 1], 0, "ksp", 50).head().score > 0.7
+    with pytest.raises(ValueError):
+        matrix.read_index(spark, str(p), "none")
+
+
+def test_timed():
+    cpu, wall, found = timed(sum, range(100_000), unit="ms")
+    assert found == 4999950000 and 0 <= cpu < 5000 and 0 < wall < 5000
+    with pytest.raises(ValueError):
+        timed(sum, [], unit="h")
+
+
 def test_arff(spark, tmp_path):
     p = tmp_path / "m.arff"
     p.write_text("@relation r\n@attribute 'one' real\n@attribute two real\n@attribute outlier {'yes','no'}\n% note\n@data\n1,2,'yes'\n3,4,'no'\n5,6\n")

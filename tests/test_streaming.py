@@ -31,6 +31,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and want
 
 
+def test_states_with_timings(spark):
+    """The same states, and seconds of what each row took."""
+    rows = Q._streams(spark, SMALL).where("stream = '0'")
+    how = {"m": 3, "policy": "worst", "window": 15, "step": 4, "monitor": False}
+    plain = search_stream(rows, Search(**how))
+    timed = search_stream(rows, Search(**how, timings=True))
+    assert timed.columns == [*plain.columns, "index", "monitor", "decision", "search"]
+    got = sorted(map(tuple, timed.collect()), key=lambda r: r[1])
+    assert [r[:6] for r in got] == sorted(map(tuple, plain.collect()), key=lambda r: r[1])
+    assert all(min(r[6:]) >= 0 for r in got) and got[0][6] > 0 < got[0][9]
+    assert any(sum(r[6:]) == 0 for r in got) and all((r[9] > 0) == bool(r[4]) for r in got)
+
+
 def test_monitor_finds_dependence():
     r = np.random.default_rng(3)
     m = Monitor(Search(m=10, policy="all", window=60, step=5))
