@@ -318,5 +318,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, options: Decontaminatio
 
 
 def op6_bm25_decontamination(spark, sf_dir):
-    """Contaminated pairs of all documents and all test items."""
-    return contaminated_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Contaminated pairs of all documents and all test items, figures to six places."""
+    out = contaminated_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})

@@ -67,3 +67,36 @@ cuts AS (SELECT DISTINCT list_reduce(list_concat([0]::BIGINT[], range(0, j)), la
 p AS (SELECT text, first, (SELECT count(*) FROM cuts WHERE cut < total AND cut <= upto - size)::INT AS shard FROM o)
 SELECT doc_id, k.size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first, rid) - 1 AS slot, NULL::INT AS grown_shard FROM k JOIN p USING (text)
 """
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+_SHINGLES = "[array_to_string({0}[i:i + {1} - 1], ' ') FOR i IN range(1, len({0}) - {1} + 2)]"
+_K = "CASE WHEN len({0}) >= 10 THEN 5 ELSE greatest(1, least(3, len({0}))) END"
+_SHARE = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_filter({0}, lambda x: list_contains({1}, x))) / len({0}) END::DOUBLE"
+
+#: Scores of all passages and items. An item is cut at its answer mark, before
+#: its last sentences with a quarter of its words, or before those words.
+OP6_SQL = rf"""
+WITH i AS (SELECT row_number() OVER () AS nr, item_id, coalesce(text, '') AS text FROM benchmark),
+iw AS (SELECT *, {_TERMS.format("text")} AS w, greatest(1, len(regexp_extract_all(text, '\S+')) // 4) AS least FROM i),
+cn AS (SELECT count(*) AS items, sum(len(w))::DOUBLE AS terms, max(len(w)) AS longest, greatest(16, max(len(w)) // 2) AS stride FROM iw),
+tf AS (SELECT nr, t, count(*) AS tf, any_value(n) AS n FROM (SELECT nr, len(w) AS n, unnest(w) AS t FROM iw) GROUP BY nr, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+wt AS (SELECT nr, t, ln(1 + (items - df + 0.5) / (df + 0.5)::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * n / (terms / items))) AS weight FROM tf JOIN df USING (t), cn),
+ow AS (SELECT nr, sum(weight) / 2 AS enough FROM wt GROUP BY nr),
+mk AS (SELECT *, regexp_extract(text, '(?is)^.*?\n\s*(?:answer|a)\s*:') AS marked, regexp_extract_all(text, '(?s).*?[.!?]\s+') AS sentences, regexp_extract_all(text, '(?s)\s*\S+') AS words FROM iw),
+se AS (SELECT *, list_max([e.at FOR e IN [{{'at': list_sum([length(x) FOR x IN sentences[1:j]])::BIGINT, 'j': j}} FOR j IN range(1, len(sentences) + 1)]
+  IF e.at < length(text) AND (e.j > 1 OR regexp_matches(regexp_replace(sentences[1], '[.!?]\s+$', ''), '\S')) AND len(regexp_extract_all(substr(text, e.at + 1), '\S+')) >= least]) AS at_sentence FROM mk),
+cu AS (SELECT *, CASE WHEN marked <> '' THEN length(marked) ELSE coalesce(at_sentence, CASE WHEN len(words) > least THEN length(array_to_string(words[1:len(words) - least], '')) ELSE length(text) END) END AS cut FROM se),
+qa AS (SELECT nr, item_id, {_TERMS.format("CASE WHEN marked <> '' THEN regexp_replace(marked, '(?is)\n\s*(?:answer|a)\s*:$', '') ELSE substr(text, 1, cut) END")} AS q, {_TERMS.format("substr(text, cut + 1)")} AS a FROM cu),
+qk AS (SELECT *, {_K.format("q")} AS qk, {_K.format("a")} AS ak FROM qa),
+sh AS (SELECT nr, item_id, qk, ak, list_distinct({_SHINGLES.format("q", "qk")}) AS qs, list_distinct({_SHINGLES.format("a", "ak")}) AS "as" FROM qk),
+dw AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+ps AS (SELECT doc_id, w, longest, stride, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - longest - stride) / stride)::BIGINT + 1) END)) * stride AS start FROM dw, cn),
+pt AS (SELECT DISTINCT doc_id, start, t FROM (SELECT doc_id, start, unnest(w[start + 1:start + longest + stride]) AS t FROM ps)),
+sc AS (SELECT doc_id, start, nr, sum(weight) AS score FROM pt JOIN wt USING (t) GROUP BY doc_id, start, nr),
+rt AS (SELECT doc_id, start, nr, score, w[greatest(0, start - longest) + 1:start + longest + stride + longest] AS region FROM sc JOIN ow USING (nr) JOIN ps USING (doc_id, start) WHERE score >= enough * (1 - 1e-9::DOUBLE)),
+rs AS (SELECT rt.*, item_id, qs, "as", {_SHINGLES.format("region", "qk")} AS rq, {_SHINGLES.format("region", "ak")} AS ra FROM rt JOIN sh USING (nr)),
+ov AS (SELECT *, {_SHARE.format("qs", "rq")} AS question_overlap, {_SHARE.format('"as"', "ra")} AS answer_overlap FROM rs)
+SELECT doc_id, item_id, start AS passage, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, nr ORDER BY round(score, 9) DESC, start) AS best FROM ov WHERE least(question_overlap, answer_overlap) >= 0.7) WHERE best = 1
+"""

@@ -6,7 +6,7 @@ from .bm25 import op6_bm25_decontamination
 from .chat import OP2_SQL, op2_chat_prefix_target
 from .minhash import op9_minhash_forest
 from .mixing import op8_temperature_mix
-from .oracles import OP1_SQL, OP5_SQL, OP7_SQL, OP9_SQL
+from .oracles import OP1_SQL, OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL
 from .quality import OP10_SQL, op10_quality_ledger
 from .sharding import op5_minimax_shards
 from .substring import op1_suffix_array_dedup, op7_suffix_tree_dedup
@@ -32,6 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": OP1_SQL,
     "op2_chat_prefix_target": OP2_SQL,
     "op5_minimax_shards": OP5_SQL,
+    "op6_bm25_decontamination": OP6_SQL,
     "op7_suffix_tree_dedup": OP7_SQL,
     "op9_minhash_forest": OP9_SQL,
     "op10_quality_ledger": OP10_SQL,
