@@ -69,6 +69,7 @@ SELECT doc_id, k.size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OV
 """
 
 _TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+_QUESTION = r"CASE WHEN marked <> '' THEN regexp_replace(marked, '(?is)\n\s*(?:answer|a)\s*:$', '') ELSE substr(text, 1, cut) END"
 _SHINGLES = "[array_to_string({0}[i:i + {1} - 1], ' ') FOR i IN range(1, len({0}) - {1} + 2)]"
 _K = "CASE WHEN len({0}) >= 10 THEN 5 ELSE greatest(1, least(3, len({0}))) END"
 _SHARE = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_filter({0}, lambda x: list_contains({1}, x))) / len({0}) END::DOUBLE"
@@ -87,7 +88,7 @@ mk AS (SELECT *, regexp_extract(text, '(?is)^.*?\n\s*(?:answer|a)\s*:') AS marke
 se AS (SELECT *, list_max([e.at FOR e IN [{{'at': list_sum([length(x) FOR x IN sentences[1:j]])::BIGINT, 'j': j}} FOR j IN range(1, len(sentences) + 1)]
   IF e.at < length(text) AND (e.j > 1 OR regexp_matches(regexp_replace(sentences[1], '[.!?]\s+$', ''), '\S')) AND len(regexp_extract_all(substr(text, e.at + 1), '\S+')) >= least]) AS at_sentence FROM mk),
 cu AS (SELECT *, CASE WHEN marked <> '' THEN length(marked) ELSE coalesce(at_sentence, CASE WHEN len(words) > least THEN length(array_to_string(words[1:len(words) - least], '')) ELSE length(text) END) END AS cut FROM se),
-qa AS (SELECT nr, item_id, {_TERMS.format("CASE WHEN marked <> '' THEN regexp_replace(marked, '(?is)\n\s*(?:answer|a)\s*:$', '') ELSE substr(text, 1, cut) END")} AS q, {_TERMS.format("substr(text, cut + 1)")} AS a FROM cu),
+qa AS (SELECT nr, item_id, {_TERMS.format(_QUESTION)} AS q, {_TERMS.format("substr(text, cut + 1)")} AS a FROM cu),
 qk AS (SELECT *, {_K.format("q")} AS qk, {_K.format("a")} AS ak FROM qa),
 sh AS (SELECT nr, item_id, qk, ak, list_distinct({_SHINGLES.format("q", "qk")}) AS qs, list_distinct({_SHINGLES.format("a", "ak")}) AS "as" FROM qk),
 dw AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
