@@ -30,11 +30,20 @@ class WindowIndex:
             self.rank[self.order[:, j], j] = np.arange(self.n)
         self._ties: dict[int, tuple] = {}
 
+    def rank_of(self, j: int) -> np.ndarray:
+        return self.rank[:, j]
+
+    def order_of(self, j: int) -> np.ndarray:
+        return self.order[:, j]
+
+    def values_of(self, j: int) -> np.ndarray:
+        return self.rows[:, j]
+
     def ties(self, j: int):
         """Sorted values, tie boundaries, averaged ranks and cumulative tie
         correction of column j, by rank."""
         if j not in self._ties:
-            v = self.rows[self.order[:, j], j]
+            v = self.values_of(j)[self.order_of(j)]
             start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             t = np.diff(np.append(start, self.n))
             group = np.repeat(np.arange(len(t)), t)
@@ -59,14 +68,15 @@ def slice_of(index: WindowIndex, j: int, size: int, it: int, seed: int) -> np.nd
     """Rows in a random slice of column j."""
     n, kind = index.n, index.kinds[j]
     at = int(draw_np(seed, it, j)) % max(n - size, 1)
+    rank = index.rank_of(j)
     if kind == "n":
-        return (index.rank[:, j] >= at) & (index.rank[:, j] < at + size)
+        return (rank >= at) & (rank < at + size)
     if kind == "o":
         a = index.safe_cut(j, at)
         b = index.safe_cut(j, min(a + size, n - 1))
-        core = (index.rank[:, j] >= a) & (index.rank[:, j] < b)
+        core = (rank >= a) & (rank < b)
     else:
-        values, code = np.unique(index.rows[:, j], return_inverse=True)
+        values, code = np.unique(index.values_of(j), return_inverse=True)
         k = max(min(max(math.floor(len(values) * size / n), 1), len(values) - 1), 0)
         turn = np.lexsort((np.arange(len(values)), draw_np(seed, it, np.arange(len(values)))))
         core = np.isin(code, turn[:k])
@@ -151,8 +161,8 @@ def two_sample(index: WindowIndex, test: str, ref: int, selected: np.ndarray, be
     if test == "mcdep":
         test = {"n": "ksp", "o": "mwp", "c": "csp"}[index.kinds[ref]]
     if test == "csp":
-        return csp(index.rows[:, ref], selected)
-    inside = selected[index.order[:, ref]]
+        return csp(index.values_of(ref), selected)
+    inside = selected[index.order_of(ref)]
     if test == "mwp":
         return mwp(index, ref, inside, beta, it, seed)
     return ks(inside) if test == "ks" else ksp(inside)

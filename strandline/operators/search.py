@@ -3,57 +3,125 @@ levelwise search with its relational steps."""
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import columns
 from ..plans.tables import materialize
 from .dataset import dims_of
 
-WINDOW_ROWS = 50_000
+CHUNK = 1 << 16  # ranks in a row of a table of ranks
+
+
+TURNED = "dim int, part int, seq int, cells binary"
+
+
+def _turn(batches):
+    """For mapInArrow: rows in order -> each column's cells of these rows."""
+    part = TaskContext.get().partitionId()
+    for seq, batch in enumerate(batches):
+        cells = batch.column("x").flatten()
+        d = len(cells) // max(batch.num_rows, 1)
+        x = cells.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, d)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in ((range(d), pa.int32()), ([part] * d, pa.int32()), ([seq] * d, pa.int32()), ([c.tobytes() for c in x.T], pa.binary()))], ["dim", "part", "seq", "cells"])
+
+
+RANKS = "dim int, at long, n long, ranks binary, cells binary"
+
+
+def _rank(valued: bool):
+    """For mapInArrow: columns' cells in order -> their ranks by row, in chunks."""
 
+    def chunks(dim: int, cells: list[bytes]):
+        x = np.frombuffer(b"".join(cells))
+        rank = np.empty(len(x), np.int32)
+        rank[np.argsort(x, kind="stable")] = np.arange(len(x), dtype=np.int32)
+        for a in range(0, len(x), CHUNK):
+            row = [dim], [a], [len(x)], [columns.packed(rank[a : a + CHUNK], len(x))], [x[a : a + CHUNK].tobytes() if valued else None]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["dim", "at", "n", "ranks", "cells"])
 
-def _columns(wide: DataFrame) -> DataFrame:
-    """One row: the window's cells as an array of rows, in row order. A search
-    looks at one window, which is bounded."""
-    cells = F.struct("row_id", F.array(*[F.col(c).cast("double") for c in dims_of(wide)]).alias("x"))
-    return wide.limit(WINDOW_ROWS + 1).agg(F.array_sort(F.collect_list(cells)).alias("rows"))
+    def rank(batches):
+        dim, cells = None, []
+        for batch in batches:
+            for own, block in zip(batch.column("dim").to_pylist(), batch.column("cells"), strict=True):
+                if own != dim:
+                    if cells:
+                        yield from chunks(dim, cells)
+                    dim, cells = own, []
+                cells.append(block.as_py())
+        if cells:
+            yield from chunks(dim, cells)
 
+    return rank
 
-def _scorer(mode: str, test: str, m: int, alpha: float, beta: float, seed: int):
-    """For mapInPandas: rows (rows, dims, ref) -> (dims, ref, score)."""
 
-    def score(frames):
-        for frame in frames:
-            out = []
-            for rows, dims, ref in zip(frame["rows"], frame["dims"], frame["ref"], strict=True):
-                if len(rows) > WINDOW_ROWS:
-                    raise ValueError(f"a window holds more than {WINDOW_ROWS} rows")
-                index = kernels.WindowIndex(np.array([r["x"] for r in rows], float))
-                own = [int(x) for x in dims]
+def _tasks(wide: DataFrame) -> int:
+    """As many as run at once: each gets a copy of all ranks."""
+    return max(2, min(200, wide.sparkSession.sparkContext.defaultParallelism))
+
+
+def ranked_columns(wide: DataFrame, test: str = "ksp") -> DataFrame:
+    """The columns' ranks by row, in chunks; with their cells where the test needs
+    them. Rows that are equal in a column rank in row order. A column is sorted in
+    one task."""
+    cells = F.array(*[F.col(c).cast("double") for c in dims_of(wide)]).cast("array<double>")
+    turned = wide.select("row_id", cells.alias("x")).orderBy("row_id", "x").select("x").mapInArrow(_turn, TURNED)
+    parts = max(1, min(len(dims_of(wide)), _tasks(wide)))
+    dealt = turned.repartitionById(parts, F.col("dim") % parts).sortWithinPartitions("dim", "part", "seq").select("dim", "cells")
+    return materialize(dealt.mapInArrow(_rank(not columns.walked(test)), RANKS), "ranks")
+
+
+SCORED = "dims array<int>, ref int, score double"
+
+
+def _scorer(d: int, mode: str, test: str, m: int, alpha: float, beta: float, seed: int):
+    """For mapInArrow: chunks of all columns and sets (dims, ref) -> (dims, ref,
+    score). Columns go to the task's memory or files; one is read at a time."""
+
+    def score(batches):
+        with tempfile.TemporaryDirectory() as folder:
+            index, sets = columns.FiledIndex(folder, 0, d), []
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    dim, at, n, ranks, cells, dims, ref = (batch.column(c)[row] for c in ("dim", "at", "n", "ranks", "cells", "dims", "ref"))
+                    if not dim.is_valid:
+                        sets.append((dims.as_py(), ref.as_py()))
+                        continue
+                    index.n = n.as_py()
+                    for kind, block in (("ranks", ranks), ("cells", cells)):
+                        if block.is_valid:
+                            index.put(kind, dim.as_py(), at.as_py(), block.as_py())
+            for own, ref in sets:
                 if mode == "contrast":
-                    out.append((own, -1, kernels.contrast(index, own, test, m, alpha, beta, seed)))
+                    ref, got = -1, columns.contrast(index, own, test, m, alpha, beta, seed)
                 elif mode == "deviation":
-                    out.append((own, int(ref), kernels.deviation(index, own, int(ref), test, m, alpha, beta, seed)))
+                    got = columns.deviation(index, own, ref, test, m, alpha, beta, seed)
                 else:
-                    got = kernels.greedy_subspace(index, int(ref), lambda s, r=int(ref): kernels.deviation(index, s, r, test, m, alpha, beta, seed))
-                    out.append((list(got[0]), int(ref), got[1]))
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=["dims", "ref", "score"])
+                    own, got = columns.greedy_subspace(index, ref, test, m, alpha, beta, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([list(own)], pa.list_(pa.int32())), pa.array([ref], pa.int32()), pa.array([got], pa.float64())], ["dims", "ref", "score"])
 
     return score
 
 
-SCORED = "dims array<int>, ref int, score double"
+def _scored(wide: DataFrame, ranked: DataFrame, sets: DataFrame, mode: str, test: str, m: int, alpha: float, beta: float, seed: int) -> DataFrame:
+    """Sets are dealt over tasks, each of which gets all columns."""
+    tasks = _tasks(wide)
+    to = F.col("ref") if mode == "greedy" else F.xxhash64("dims", "ref")
+    asked = sets.select("dims", "ref", F.pmod(to, F.lit(tasks)).cast("int").alias("task"))
+    told = ranked.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    both = told.unionByName(asked, allowMissingColumns=True).repartitionById(tasks, F.col("task")).drop("task")
+    return both.mapInArrow(_scorer(len(dims_of(wide)), mode, test, m, alpha, beta, seed), SCORED)
 
 
 def scored_subspaces(wide: DataFrame, sets: DataFrame, mode: str = "contrast", test: str = "ksp", m: int = 50, alpha: float = 0.5, beta: float = 0.5, seed: int = 1) -> DataFrame:
-    """sets (dims, ref): each with its contrast or deviation, side by side."""
-    spread = sets.select("dims", "ref").repartition(max(2, min(200, wide.sparkSession.sparkContext.defaultParallelism * 2)))
-    # one bounded row
-    return spread.crossJoin(F.broadcast(_columns(wide))).mapInPandas(_scorer(mode, test, m, alpha, beta, seed), SCORED)
+    """sets (dims, ref): each with its contrast or deviation, side by side, over
+    any number of rows."""
+    return _scored(wide, ranked_columns(wide, test), sets, mode, test, m, alpha, beta, seed)
 
 
 def greedy_search(wide: DataFrame, test: str = "ksp", m: int = 50, alpha: float = 0.5, beta: float = 0.5, seed: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import kernels, special
+from strandline.functions import columns, kernels, special
 from strandline.functions.draws import draw, draw_np
 from strandline.operators import dependence, ranks
 from strandline.plans import queries as Q
@@ -49,6 +49,26 @@ def test_numeric_windows(spark, test):
     assert abs(frame - kernels.contrast(x, [1, 4], test, 6)) < 1e-9
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 66, 129, 3000, 70_000])
+def test_columns_in_files(tmp_path, monkeypatch, n):
+    """Walks over bits, and tests that read one column at a time."""
+    monkeypatch.setattr(columns, "HELD", 100_000)
+    r = np.random.default_rng(n)
+    x = r.random((n, 5))
+    x[:, 1], x[:, 2], x[:, 3] = x[:, 0] + 0.1 * x[:, 1], np.round(4 * x[:, 0]), 0
+    plain, filed = kernels.WindowIndex(x), columns.FiledIndex(str(tmp_path), n, 5)
+    for j in range(5):
+        for a, b in ((n // 3, n), (0, n // 3)):
+            filed.put("ranks", j, a, columns.packed(plain.rank[a:b, j], n))
+            filed.put("cells", j, a, x[a:b, j].tobytes())
+    for test in ("ks", "ksp", "mcdep", *(("mwp", "csp") if n > 3 else ())):
+        for dims in ([0, 1], [0, 2, 1], [3, 0], [0, 1, 2, 3, 4]):
+            assert columns.contrast(filed, dims, test, 9, 0.5, 0.5, 2) == kernels.contrast(plain, dims, test, 9, seed=2)
+            assert columns.deviation(filed, dims, 0, test, 9, 0.3, 0.5, 2) == kernels.deviation(plain, dims, 0, test, 9, 0.3, seed=2)
+        want = kernels.greedy_subspace(plain, 1, lambda s, t=test: kernels.deviation(plain, s, 1, t, 9))
+        assert columns.greedy_subspace(filed, 1, test, 9, 0.5, 0.5, 1) == want
+
+
 def test_mixed_windows(spark):
     long = Q.mixed(spark, SMALL)
     index = ranks.corrected_index(long)

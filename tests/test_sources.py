@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels
 from strandline.functions.timing import timed
 from strandline.operators import dataset, dependence, outliers, report, search
 from strandline.sources import matrix
@@ -115,6 +116,27 @@ def test_searches(spark):
     assert [b.score for b in best] == sorted((b.score for b in best), reverse=True)
 
 
+def large_window(spark, n=60_000):
+    """Rows out of order, with ties, nulls and NaNs; and the matrix in row order."""
+    u = lambda seed: (F.xxhash64("id", F.lit(seed)) % 100_000 / 100_000.0)
+    cells = u(1).alias("x0"), (u(1) + u(2) / 3).alias("x1"), F.when(F.col("id") % 7 == 3, None).when(F.col("id") % 7 == 4, float("nan")).otherwise(F.round(u(3), 1)).alias("x2"), u(4).alias("x3")
+    wide = spark.range(n, numPartitions=5).select((F.lit(n) - F.col("id")).alias("row_id"), *cells).repartition(6, "x3")
+    x = wide.orderBy("row_id").select("x0", "x1", "x2", "x3").toPandas().to_numpy(float)
+    return wide, kernels.WindowIndex(x)
+
+
+def test_greedy_search_of_a_large_window(spark):
+    """More rows than any one array of them could hold: as the plain kernels."""
+    wide, index = large_window(spark)
+    for ref, dims, score in search.greedy_search(wide, m=5).collect():
+        want = kernels.greedy_subspace(index, ref, lambda s, r=ref: kernels.deviation(index, s, r, m=5))
+        assert (tuple(dims), score) == want
+    sets = spark.createDataFrame([([0, 2, 3], 0), ([1, 2], 2)], "dims array<int>, ref int")
+    for dims, ref, score in search.scored_subspaces(wide, sets, "deviation", "mwp", m=3).collect():
+        assert score == kernels.deviation(index, dims, ref, "mwp", 3)
+    assert search.greedy_search(wide.limit(0), m=5).count() == 4
+
+
 def test_dataset_edges(spark):
     df = spark.createDataFrame([(0, 1.0, None), (1, float("nan"), 2.0), (2, 3.0, 4.0)], "row_id long, x0 double, x1 double")
     assert {r.row_id for r in dataset.to_long(df).collect()} == {2}
