@@ -170,8 +170,8 @@ def top_sets(sets: DataFrame, k: int) -> DataFrame:
 def levelwise_search(wide: DataFrame, candidate_cutoff: int = 400, output_cutoff: int = 100, test: str = "ksp", m: int = 50, alpha: float = 0.5, seed: int = 1) -> DataFrame:
     """(place, dims, score): sets of high contrast, grown level by level from
     pairs. A level is at most candidate_cutoff sets; each is scored in one job."""
-    spark, d = wide.sparkSession, len(dims_of(wide))
-    score = lambda sets: materialize(scored_subspaces(wide, sets.withColumn("ref", F.lit(-1)), "contrast", test, m, alpha, seed=seed).select("dims", "score"), "level")
+    spark, d, ranked = wide.sparkSession, len(dims_of(wide)), ranked_columns(wide, test)
+    score = lambda sets: materialize(_scored(wide, ranked, sets.withColumn("ref", F.lit(-1)), "contrast", test, m, alpha, 0.5, seed).select("dims", "score"), "level")
     pairs = spark.createDataFrame([([x, y],) for x in range(d) for y in range(x + 1, d)], "dims array<int>")
     level = materialize(top_sets(score(pairs), candidate_cutoff), "level")
     kept, size = [], 2

@@ -137,6 +137,24 @@ def test_greedy_search_of_a_large_window(spark):
     assert search.greedy_search(wide.limit(0), m=5).count() == 4
 
 
+def test_levelwise_search_of_a_large_window(spark):
+    """As levels grown one set after the other."""
+    wide, index = large_window(spark)
+    scored = lambda sets: sorted(((kernels.contrast(index, s, m=5), s) for s in sets), key=lambda x: (-x[0], x[1]))
+    level, kept = scored([[i, j] for i in range(4) for j in range(i + 1, 4)])[:5], []
+    while len(level[0][1]) < 4:
+        known = [s for _, s in level]
+        unions = {tuple(sorted({*a, *b})) for a in known for b in known}
+        fresh = scored([list(u) for u in unions if len(u) == len(known[0]) + 1 and all([x for x in u if x != y] in known for y in u)])
+        if not fresh or fresh[0][0] < level[-1][0]:
+            break
+        kept += [(score, s) for score, s in level if not any(score < above and set(s) < set(u) for above, u in fresh)]
+        level = fresh[:5]
+    want = sorted(kept + level, key=lambda x: (-x[0], x[1]))[:5]
+    got = search.levelwise_search(wide, 5, 5, m=5).orderBy("place").collect()
+    assert [(r.score, r.dims) for r in got] == want
+
+
 def test_dataset_edges(spark):
     df = spark.createDataFrame([(0, 1.0, None), (1, float("nan"), 2.0), (2, 3.0, 4.0)], "row_id long, x0 double, x1 double")
     assert {r.row_id for r in dataset.to_long(df).collect()} == {2}
